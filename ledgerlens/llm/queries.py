@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, media, secret_scan, sentencepiece_bpe, url_filter
+from . import chat_format, decontaminate, license_scan, media, ngram_join, secret_scan, sentencepiece_bpe, toxicity, url_filter
 from .common import WORD
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -79,6 +79,18 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fit_on_training_rows(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, grammar)
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.col("toxicity.clauses").alias("n_clauses"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return stored.select(
@@ -127,6 +139,24 @@ joined AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined"""
 
 
+_OP7 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM doc UNION SELECT e.b, r.root FROM reach r JOIN edge e ON r.doc_id = e.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root)::BIGINT AS component_id
+FROM doc d LEFT JOIN sized USING (doc_id) JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -135,9 +165,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_chat_format": op5_chat_format,
         "op6_license_scan": op6_license_scan,
+        "op7_ngram_join": op7_ngram_join,
+        "op8_toxicity": op8_toxicity,
         "op10_media": op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(), "op3_decontaminate": _OP3, "op5_chat_format": _OP5}
+    return {"op1_url_filter": url_filter.oracle(), "op3_decontaminate": _OP3, "op5_chat_format": _OP5, "op7_ngram_join": _OP7}
