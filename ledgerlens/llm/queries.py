@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, media, ngram_join, secret_scan, sentencepiece_bpe, toxicity, url_filter
+from . import chat_format, decontaminate, license_scan, media, ngram_join, secret_scan, sentencepiece_bpe, substring_dedup, toxicity, url_filter
 from .common import WORD
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -91,6 +91,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.col("toxicity.clauses").alias("n_clauses"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return stored.select(
@@ -167,6 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": op6_license_scan,
         "op7_ngram_join": op7_ngram_join,
         "op8_toxicity": op8_toxicity,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_media": op10_media,
     }
 
