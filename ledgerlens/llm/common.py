@@ -64,7 +64,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._ledgerlens_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._ledgerlens_path)
+
+
+#: Words of 64 bits in a membership bitmap, a fixed size: 2**20 bits.
+BITMAP_WORDS = 1 << 14
+
+
+def may_be_in(key: str, keys: DataFrame) -> Column:
+    """A condition that holds for every key in ``keys`` (one column of that name) and for few others while these are few.
+
+    It is a constant of at most BITMAP_WORDS words in the plan, so it filters a large table before
+    a shuffle; when keys are very many it lets all rows through and the join behind it decides.
+    """
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_WORDS * 64))
+    words = keys.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("m")).collect()
+    table = [0] * BITMAP_WORDS
+    for r in words:
+        table[r.w] = r.m
+    held = F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
+    word = F.get(held, F.floor(bit / 64).cast("int"))
+    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))) != 0
 
 
 def release(spark: SparkSession) -> None:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, workers
+from .common import discard, materialize, may_be_in, workers
 from .graph import components
 
 WIDTH = 5
@@ -162,21 +162,25 @@ def _prefixes(width: int, bits: int, counters, block: int):
     return run
 
 
-def _members(width: int):
-    def run(frame: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _overlap(width: int):
+    """Sizes and overlap of the sets of two texts."""
 
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         shingler = Shingler(width)
-        schema = pa.schema([("rep", pa.int64()), ("sid", pa.int64()), ("members", pa.list_(pa.int64()))])
-        for ids, texts in _batches(frame):
-            sets = [shingler.members(t) for t in texts]
-            sids = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) for s in sets]
-            ends = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum([len(s) for s in sets], out=ends[1:])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
-
-    return run
+        last: tuple[bytes, np.ndarray] = (b"", shingler.members(b""))
+        for left, right in batches:
+            na, nb, both = [], [], []
+            for x, y in zip(left.cast(pa.binary()).to_pylist(), right.cast(pa.binary()).to_pylist(), strict=True):
+                if x != last[0]:  # pairs come by their first text
+                    last = x, shingler.members(x)
+                p, q = last[1], shingler.members(y)
+                na.append(len(p))
+                nb.append(len(q))
+                both.append(len(np.intersect1d(p, q, assume_unique=True)))
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (na, nb, both)], ["na", "nb", "both"])
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "na bigint, nb bigint, both bigint")
 
 
 def _needed(na: Column, nb: Column) -> Column:
@@ -198,16 +202,18 @@ def _verify(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int) ->
     both = F.aggregate(F.zip_with("rx", "ry", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
     kept = materialize(known.where(both >= _needed(F.col("nx"), F.col("ny"))).select("x", "y", "nx", "ny").distinct(), "pairs")
     sids = kept.select(F.explode(F.array("x", "y")).alias("d1")).distinct()
-    reps = groups.join(sids, "d1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(reps, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_members(width), "rep bigint, sid bigint, members array<bigint>")
-    # rows of one id with other texts have other sids and fall away here
-    sets = materialize(sets.join(groups.select("rep", F.col("d1").alias("sid")), ["rep", "sid"], "left_semi").dropDuplicates(["rep", "sid"]), "sets")
-    left = sets.select(F.col("sid").alias("x"), F.col("rep").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("sid").alias("y"), F.col("rep").alias("b"), F.col("members").alias("mb"))
-    met = kept.join(left, "x").join(right, "y").withColumn("i", F.size(F.array_intersect("ma", "mb")))
-    links = met.where(F.col("i") * (NUMERATOR + DENOMINATOR) >= (F.size("ma") + F.size("mb")) * NUMERATOR).select("a", "b")
-    return kept.select("x", "y"), materialize(links, "links")
+    reps = materialize(groups.join(sids, "d1", "left_semi").select(F.col("rep").alias("doc_id"), F.col("d1").alias("sid")), "reps")
+    # texts move, not sets: they are smaller; few rows pass the bitmap into the shuffle
+    texts = docs.where(may_be_in("doc_id", reps.select("doc_id"))).join(reps, "doc_id")
+    texts = materialize(texts.select("doc_id", "sid", "text"), "texts")
+    left = texts.select(F.col("sid").alias("x"), F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("sid").alias("y"), F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    met = kept.join(left, "x").join(right, "y").select("a", "b", _overlap(width)("ta", "tb").alias("o"))
+    # where rows of one id have several texts, or digests collide in 64 bits, all combinations are tried
+    links = met.where(F.col("o.both") * (NUMERATOR + DENOMINATOR) >= (F.col("o.na") + F.col("o.nb")) * NUMERATOR).where("o.both > 0").select("a", "b")
+    links = materialize(links, "links")
+    discard(texts, reps)
+    return kept.select("x", "y"), links
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, sketch_bits: int = SKETCH_BITS, block: int = BLOCK) -> DataFrame:
@@ -242,12 +248,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     at = roots(links)
     member = shared.select("token", "sid", "n", "pos").join(at.groupBy(F.col("d1").alias("sid")).agg(F.min("root").alias("root")), "sid")
-    mixed = materialize(member, "members")
-    several = mixed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    mixed = materialize(mixed.join(several, "token").distinct(), "members")
+    member = materialize(member, "members")
+    discard(shared)
+    several = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    mixed = materialize(member.join(several, "token").distinct(), "members")
+    discard(member)
     p, q = mixed.alias("p"), mixed.alias("q")
     cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & _may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"))).select(*pair("p.sid", "q.sid")).distinct()
     _, more = _verify(cross.join(tried, ["x", "y"], "left_anti"), docs, groups, width)
+    discard(mixed)
     if more.head(1):
         at = roots(links.unionByName(more))
     out = sets.join(at, ["d1", "d2"], "left")
