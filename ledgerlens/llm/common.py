@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: A word of a lower-cased text, as a regular expression for Java and RE2.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same word in a text whose letters A-Z still have their case.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The same word in the UTF-8 bytes of a lower-cased text: non-ASCII code points have only bytes above 0x7F.
 WORD_BYTES = rb"[0-9a-z\x80-\xff]+"
 

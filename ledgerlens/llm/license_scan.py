@@ -23,7 +23,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_ANY_CASE, ascii_lower
+from .common import WORD, ascii_lower
 
 #: Phrases whose places are counted, and their labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -42,14 +42,33 @@ TEMPLATES = {
 MIN_AGREEING = 3
 #: The look-up takes so many template words of highest IDF.
 RARE_WORDS = 48
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The ASCII characters between words, one by one: Java tests such a class with one look into a bit set, ranges one after the other.
+_GAPS = "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+GAP, WORD_CHAR = f"[{_GAPS}]", f"[^{_GAPS}]"
 
 
 def phrase_pattern(phrase: str) -> str:
-    """A Java pattern for the consecutive words of a phrase, A-Z in either case."""
-    word = WORD_ANY_CASE[1:-2]
+    """A Java pattern for the consecutive words of a phrase, A-Z in either case.
+
+    The look-behind stands after the first letter, so most positions fail before it is tried.
+    """
     words = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in phrase.split()]
-    return f"(?<![{word}])" + f"{GAP}+".join(words) + f"(?![{word}])"
+    first = words[0][: words[0].index("]") + 1] if phrase[0].isalpha() else words[0][0]
+    words[0] = first + f"(?<!{WORD_CHAR}{first})" + words[0][len(first) :]
+    return f"{GAP}+".join(words) + f"(?!{WORD_CHAR})"
+
+
+def holds(text: Column, low: Column, phrase: str) -> Column:
+    """Whether the phrase stands in the text; its words are sought as plain bytes of the lower-cased text first."""
+    there = F.lit(True)
+    for w in sorted(phrase.split(), key=lambda w: (-len(w), w)):
+        there = there & low.contains(w)
+    return F.when(there, text.rlike(phrase_pattern(phrase))).otherwise(False)
+
+
+def count_words(text: Column) -> Column:
+    """The number of words: each becomes one character, with what stands before it; a last word of our own ends the text."""
+    return (F.length(F.regexp_replace(F.concat(text, F.lit(" a")), f"{GAP}*{WORD_CHAR}+", ".")) - 1).cast("long")
 
 
 def build_index(templates: dict = TEMPLATES) -> tuple[dict[str, list[tuple[str, int]]], dict[str, float], dict[str, float]]:
@@ -69,7 +88,7 @@ def _of(label: str):
     return lambda x: x["label"] == label
 
 
-def _labels_by_index(text: Column, templates: dict) -> Column:
+def _labels_by_index(text: Column, low: Column, templates: dict) -> Column:
     """Array of struct (label, score) of the templates found."""
     postings, idf, totals = build_index(templates)
     table = F.create_map(*[x for w, p in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("label"), F.lit(i).alias("at"), F.lit(idf[w]).alias("idf")) for t, i in p]))])
@@ -96,33 +115,38 @@ def _labels_by_index(text: Column, templates: dict) -> Column:
             top = F.transform(F.array(mine), best)[0]
             keyed = F.lit(True)
             for k in keys:
-                keyed = keyed & text.rlike(phrase_pattern(k))
+                keyed = keyed & holds(text, low, k)
             out.append(F.when(keyed & (top.n >= MIN_AGREEING), F.struct(F.lit(label).alias("label"), F.least(F.lit(1.0), F.round(top.idf / totals[label], 4)).alias("score"))))
         return F.filter(F.array(*out), lambda x: x.isNotNull())
 
     none = F.array().cast("array<struct<label: string, score: double>>")
-    any_key = "|".join(f"(?:{phrase_pattern(k)})" for _, keys in sorted(templates.values()) for k in keys)
-    return F.when(text.rlike(any_key), F.transform(F.array(hits), found)[0]).otherwise(none)
+    any_keyed = F.lit(False)
+    for _, keys in sorted(templates.values()):
+        keyed = F.lit(True)
+        for k in keys:
+            keyed = keyed & holds(text, low, k)
+        any_keyed = any_keyed | keyed
+    return F.when(any_keyed, F.transform(F.array(hits), found)[0]).otherwise(none)
 
 
 def scan_licenses(df: DataFrame, text: str = "text", templates: dict = TEMPLATES) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels and score (see the module)."""
     body = F.coalesce(df[text].cast("string"), F.lit(""))
-    df = df.withColumn("__text", body)
-    body = F.col("__text")
-    count = lambda c: F.regexp_count(c, F.lit(WORD_ANY_CASE)).cast("long")
-    df = df.withColumn("n_words", count(body))
+    # lower() also changes other letters, which only lets more texts through to the patterns
+    df = df.withColumn("__text", body).withColumn("__low", F.lower("__text"))
+    body, low = F.col("__text"), F.col("__low")
+    df = df.withColumn("n_words", count_words(body))
     places, firsts, lasts, labels = F.lit(0).cast("long"), [], [], []
     for k, (phrase, label) in enumerate(BASE_PHRASES):
         pattern = phrase_pattern(phrase)
         # the texts between matches; null where there is none
-        df = df.withColumn(f"__cut{k}", F.when(body.rlike(pattern), F.split(body, pattern, -1)))
+        df = df.withColumn(f"__cut{k}", F.when(holds(body, low, phrase), F.split(body, pattern, -1)))
         cut = F.col(f"__cut{k}")
         places = places + F.when(cut.isNotNull(), F.size(cut) - 1).otherwise(0)
-        firsts.append(count(cut[0]))
-        lasts.append(F.col("n_words") - count(F.element_at(cut, -1)) - len(phrase.split()))
+        firsts.append(count_words(cut[0]))
+        lasts.append(F.col("n_words") - count_words(F.element_at(cut, -1)) - len(phrase.split()))
         labels.append(F.when(cut.isNotNull(), F.lit(label)))
-    df = df.withColumn("__found", _labels_by_index(body, templates))
+    df = df.withColumn("__found", _labels_by_index(body, low, templates))
     base = F.filter(F.array(*labels), lambda x: x.isNotNull())
     return (
         df.withColumn("n_base", places)
@@ -131,5 +155,5 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: dict = TEMPLATES
         .withColumn("base_labels", F.array_join(F.array_sort(base), ","))
         .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.transform("__found", lambda x: x["label"])))), ","))
         .withColumn("score", F.greatest(F.when(places > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max(F.transform("__found", lambda x: x["score"])), F.lit(0.0))))
-        .drop("__text", "__found", *[f"__cut{k}" for k in range(len(BASE_PHRASES))])
+        .drop("__text", "__low", "__found", *[f"__cut{k}" for k in range(len(BASE_PHRASES))])
     )
