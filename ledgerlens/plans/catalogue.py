@@ -297,7 +297,7 @@ def field_span_resolution(spark, sf_dir):
     return spans.resolve_field_spans(fields, docs, sections(spark, sf_dir), subsections(spark, sf_dir), offsets)
 
 
-_SPANS = "SELECT CAST(o_orderkey % 20 AS INT) AS doc_id, o_orderkey AS span_id, CAST(o_orderkey % 40 - 2 AS INT) AS start_page, CAST(o_orderkey % 40 + 1 AS INT) AS end_page FROM {orders} WHERE o_orderkey % 50 = 0"
+_SPANS = "SELECT CAST(p_partkey % 20 AS INT) AS doc_id, p_partkey AS span_id, CAST(p_partkey % 40 - 2 AS INT) AS start_page, CAST(p_partkey % 40 + 1 AS INT) AS end_page FROM {part}"
 
 
 @query("pages_in_span_text", f"""
@@ -334,7 +334,7 @@ def page_offset(spark, sf_dir):
     return offsets(spark, sf_dir)
 
 
-_PRINTED = "SELECT user_id AS doc_id, event_id AS span_id, CAST(event_id % 30 + 1 AS INT) AS start_page, CAST(event_id % 30 + event_id % 7 AS INT) AS end_page FROM {events} WHERE event_id % 10 = 0"
+_PRINTED = "SELECT user_id AS doc_id, event_id AS span_id, CAST(event_id % 30 + 1 AS INT) AS start_page, CAST(event_id % 30 + event_id % 7 AS INT) AS end_page FROM {events}"
 
 
 @query("pdf_span_resolve", _OFFSETS + f""", s AS ({duck(_PRINTED)}), m AS (
