@@ -11,11 +11,13 @@ that is broadcast; any order gives right results, a rare-first one short blocks.
 similarity t or more share one of their first n - ceil(t n) + 1 shingles.
 
 Candidates.  Members of a block (texts that share a prefix shingle) are sorted by size and each is
-tried with the one before: linear in the block, and enough to connect a group of near copies.
+tried with the last one before that has the shingle in the prefix which sets of one size need:
+linear in the block.  Where components still share many blocks, this is repeated in other orders
+between members of different components, which connects a group of near copies.
 Blocks whose counter says they are large are first dealt into parts, whose heads are tried with
 one another.  What is connected is then one component, and only pairs of *different* components
 that share a prefix shingle are still listed, all of them, so that no link is missed while the
-square of a group is never written.  Length and positional filters act in these steps; the suffix
+square of a group is never written.  Length, prefix and positional filters act in these steps; the suffix
 filter (an upper bound from counts of set members by hash range) acts on distinct pairs; what
 remains is verified once, exactly, on the whole sets.
 
@@ -42,6 +44,9 @@ NUMERATOR, DENOMINATOR = 3, 4
 SKETCH_BITS = 18
 #: Blocks that the counters put above this are dealt into parts of about this many members.
 BLOCK = 4000
+#: While blocks hold more pairs of different components than this a row, and the last time has at least halved them,
+#: members are chained anew in another order, so many times at most; all pairs that are left are listed afterwards.
+PAIRS_A_ROW, ROUNDS = 2, 4
 #: Hash ranges of the suffix filter.
 RANGES = 64
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -189,10 +194,43 @@ def _needed(na: Column, nb: Column) -> Column:
 
 
 def _may_link(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
-    """Length filter, and positional filter of a shingle that both share at these places."""
+    """Length, prefix and positional filters of a shingle that both sets have at these places.
+
+    Sets that overlap in o shingles share one of the first na - o + 1 and nb - o + 1, and o is
+    known once both sizes are: nearer copies in size need shorter prefixes than one set alone.
+    """
     length = (F.least(na, nb) * DENOMINATOR >= F.greatest(na, nb) * NUMERATOR)
+    needed = _needed(na, nb)
+    prefix = (ia <= na - needed) & (ib <= nb - needed)
     most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    return length & (most >= _needed(na, nb))
+    return length & prefix & (most >= needed)
+
+
+def _pair(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("x"), F.greatest(a, b).alias("y")
+
+
+def _near(n: str, pos: str) -> Column:
+    """The place is in the prefix that sets of one size need."""
+    return F.col(pos) <= F.col(n) - _needed(F.col(n), F.col(n))
+
+
+def _last_near(w, *fields: str) -> Column:
+    """The last member before a row, in its block, whose place is near."""
+    return F.last(F.when(_near("n", "pos"), F.struct(*fields)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _chained(rows: DataFrame, differ: str) -> DataFrame:
+    """Pairs of each row and the one in ``near``, where these differ in a column and may link."""
+    apart = (F.col(f"near.{differ}") != F.col(differ)) & (F.col("near.sid") != F.col("sid"))
+    return rows.where(apart & _may_link(F.col("n"), F.col("pos"), F.col("near.n"), F.col("near.pos"))).select(*_pair("sid", "near.sid"))
+
+
+def _left_to_try(mixed: DataFrame) -> tuple[int, int]:
+    """Rows, and how many pairs of rows of different components their blocks hold, in near prefixes."""
+    per = mixed.where(_near("n", "pos")).groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count").cast("double")).alias("own"))
+    rows, left = per.agg(F.sum("c"), F.sum((F.col("c") * F.col("c").cast("double") - F.col("own")) / 2)).head()
+    return rows or 0, int(left or 0)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -232,31 +270,46 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     entries = docs.where("doc_id is not null").mapInArrow(_prefixes(width, sketch_bits, held, block), "token bigint, part int, sid bigint, n int, pos int")
     w = Window.partitionBy("token", "part").orderBy("n", "sid", "pos")
+    before = _last_near(w, "sid", "n", "pos")
     shared = entries.repartition("token", "part").select(
-        "token", "part", "sid", "n", "pos", F.lag("sid").over(w).alias("p_sid"), F.lag("n").over(w).alias("p_n"), F.lag("pos").over(w).alias("p_pos"), F.lead("sid").over(w).alias("next"))
-    shared = materialize(shared.where("part > 0 or p_sid != sid or next != sid").drop("next"), "shared")
+        "token", "part", "sid", "n", "pos", before.alias("near"), F.lag("sid").over(w).alias("p_sid"), F.lead("sid").over(w).alias("next"))
+    shared = materialize(shared.where("part > 0 or p_sid != sid or next != sid").drop("p_sid", "next"), "shared")
 
-    pair = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-    chain = shared.where("p_sid != sid").where(_may_link(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"))).select(*pair("sid", "p_sid"))
-    heads = shared.where("part > 0").groupBy("token", "part").agg(F.min(F.struct("n", "sid", "pos")).alias("h"))
+    heads = shared.where("part > 0").groupBy("token", "part").agg(F.min(F.struct((~_near("n", "pos")).alias("far"), "n", "sid", "pos")).alias("h"))
     over = Window.partitionBy("token").orderBy("h", "part")
-    heads = heads.withColumn("p", F.lag("h").over(over)).where("p.sid != h.sid").select(*pair("h.sid", "p.sid"))
-    tried, links = _verify(chain.unionByName(heads).distinct(), docs, groups, width)
+    heads = heads.withColumn("p", F.lag("h").over(over)).where("p.sid != h.sid").select(*_pair("h.sid", "p.sid"))
+    tried, links = _verify(_chained(shared, "sid").unionByName(heads).distinct(), docs, groups, width)
 
     def roots(found: DataFrame) -> DataFrame:
         return materialize(groups.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "rep", F.coalesce("root", "rep").alias("root")), "roots")
 
+    def members_of_several(at: DataFrame) -> DataFrame:
+        """Entries of tokens whose members are in more than one component, with the component."""
+        member = shared.select("token", "part", "sid", "n", "pos").join(at.groupBy(F.col("d1").alias("sid")).agg(F.min("root").alias("root")), "sid")
+        member = materialize(member, "members")
+        several = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+        mixed = materialize(member.join(several, "token").distinct(), "members")
+        discard(member)
+        return mixed
+
     at = roots(links)
-    member = shared.select("token", "sid", "n", "pos").join(at.groupBy(F.col("d1").alias("sid")).agg(F.min("root").alias("root")), "sid")
-    member = materialize(member, "members")
-    discard(shared)
-    several = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    mixed = materialize(member.join(several, "token").distinct(), "members")
-    discard(member)
-    p, q = mixed.alias("p"), mixed.alias("q")
-    cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & _may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"))).select(*pair("p.sid", "q.sid")).distinct()
+    mixed, last = members_of_several(at), float("inf")
+    for k in range(1, ROUNDS + 1):
+        rows, left = _left_to_try(mixed)
+        if left <= PAIRS_A_ROW * rows or 2 * left > last:
+            break
+        last = left
+        w = Window.partitionBy("token", "part").orderBy("n", F.xxhash64("sid", F.lit(k)), "pos")
+        chained = _chained(mixed.withColumn("near", _last_near(w, "sid", "n", "pos", "root")), "root").distinct()
+        again, more = _verify(chained.join(tried, ["x", "y"], "left_anti"), docs, groups, width)
+        tried, links = tried.unionByName(again), links.unionByName(more)
+        discard(mixed)
+        at = roots(links)
+        mixed = members_of_several(at)
+    p, q = mixed.drop("part").alias("p"), mixed.drop("part").alias("q")
+    cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & _may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"))).select(*_pair("p.sid", "q.sid")).distinct()
     _, more = _verify(cross.join(tried, ["x", "y"], "left_anti"), docs, groups, width)
-    discard(mixed)
+    discard(mixed, shared)
     if more.head(1):
         at = roots(links.unionByName(more))
     out = sets.join(at, ["d1", "d2"], "left")
