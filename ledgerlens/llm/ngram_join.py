@@ -44,7 +44,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 SKETCH_BITS = 18
 #: Blocks that the counters put above this are dealt into parts of about this many members.
 BLOCK = 4000
-#: While blocks hold more pairs of different components than this a row, and the last time has at least halved them,
+#: While blocks hold more pairs of different components than this a row, and the last time has taken a quarter of them or more,
 #: members are chained anew in another order, so many times at most; all pairs that are left are listed afterwards.
 PAIRS_A_ROW, ROUNDS = 2, 4
 #: Hash ranges of the suffix filter.
@@ -296,7 +296,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     mixed, last = members_of_several(at), float("inf")
     for k in range(1, ROUNDS + 1):
         rows, left = _left_to_try(mixed)
-        if left <= PAIRS_A_ROW * rows or 2 * left > last:
+        if left <= PAIRS_A_ROW * rows or 4 * left > 3 * last:
             break
         last = left
         w = Window.partitionBy("token", "part").orderBy("n", F.xxhash64("sid", F.lit(k)), "pos")
