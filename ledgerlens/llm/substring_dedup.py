@@ -8,9 +8,10 @@ has several whole chunks inside.
 
 Chunk digests (64 bits) are counted over all documents with partial aggregation; digests of two
 or more documents are joined back to the chunks by an equi-join that adaptive execution splits
-where one chunk is very common.  Neighbouring repeated chunks of a document form a span, and a
-span of ``min_words`` words or more is reported; chance repeats of single chunks and digest
-collisions are too short for that.  The span of the smallest document id is the one to keep.
+where one chunk is very common.  Neighbouring repeated chunks of a document form a run, and a
+run of ``min_words`` words or more is reported; chance repeats of single chunks and digest
+collisions are too short for that.  A run is reported in parts: chunks that a smaller document
+has too are duplicates, the others are the copy to keep.
 
 Defined results: null and empty texts have no chunks; rows of one id are one document, rows
 without an id are left out; offsets are code points; very long texts are chunked whole.
@@ -105,8 +106,9 @@ def _chunk_rows(frame: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, stop, n_words, first_doc_id, duplicate: every span that other documents have too.
 
-    first_doc_id: the smallest document with a chunk of the span; duplicate: it is another one, so
-    that removing the spans marked leaves one copy.
+    Runs of min_words words are cut where chunks change between duplicates and first copies, and
+    each part is a row.  first_doc_id: the smallest document with a chunk of the part; duplicate:
+    smaller documents have all its chunks, so that removing the spans marked leaves one copy.
     """
     workers(df.sparkSession)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
@@ -116,9 +118,13 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     hits = docs.mapInArrow(_chunk_rows, CHUNKS).join(shared, "digest").select("doc_id", "start", "stop", "words", "first").distinct()
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
     begins = F.coalesce((F.lag("stop").over(w) < F.col("start")).cast("int"), F.lit(1))
-    spans = hits.withColumn("begins", begins).withColumn("span", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_words", "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("duplicate"))
+    marked = hits.withColumn("begins", begins).withColumn("duplicate", F.col("first") != F.col("doc_id"))
+    turns = F.greatest("begins", F.coalesce((F.lag("duplicate").over(w) != F.col("duplicate")).cast("int"), F.lit(1)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("turns", turns).withColumn("run", F.sum("begins").over(so_far)).withColumn("part", F.sum("turns").over(so_far))
+    parts = marked.groupBy("doc_id", "run", "part", "duplicate").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
+    parts = parts.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
+    return parts.where(F.col("run_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_words", "first_doc_id", "duplicate")
 
 
 def cut_spans(df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -198,6 +198,16 @@ def test_repeated_passages(spark):
     assert ends[-1] == len(data) and points[-1] == len(data.decode()) and len(digests) == len(ends)
 
 
+def test_every_passage_keeps_a_copy(spark):
+    head, edit, tail = prose(400, 80), prose(401, 90), prose(402, 80)
+    one, two = prose(403, 70), prose(404, 70)
+    texts = [f"{head} {prose(405, 60)} {tail}", f"{head} {edit} {tail}", f"{head} {edit} {tail}", f"{prose(406, 90)} {one}", f"{two} {prose(407, 90)}", f"{prose(408, 50)} {one} {two} {prose(409, 50)}"]
+    table = docs(spark, texts)
+    left = {r.doc_id: r.text for r in substring_dedup.cut_spans(table, substring_dedup.repeated_spans(table)).collect()}
+    assert left[0] == texts[0] and edit in left[1] and head not in left[1] and tail not in left[1] and len(left[2]) < 100
+    assert (left[3], left[4]) == (texts[3], texts[4]) and one not in left[5] and two not in left[5]
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "a" * 192, "é🦙" * 100, prose(3, 500), prose(3, 500)]
     got = {r.doc_id: r for r in media.media_columns(docs(spark, texts)).collect()}
