@@ -1,20 +1,24 @@
-"""Substring dedup by content-defined chunks.
-
-A gear hash rolls over the UTF-8 bytes of a text; a chunk ends where some of its bits are zero.
-Those bits depend on the last 16 bytes only, so an insertion moves no boundary beyond its own
-surroundings and a repeated passage falls into the same chunks wherever it stands.  Chunks are
-on average 32 bytes, far shorter than the passages sought, so that any passage of some 50 words
-has several whole chunks inside.
-
-Chunk digests (64 bits) are counted over all documents with partial aggregation; digests of two
-or more documents are joined back to the chunks by an equi-join that adaptive execution splits
-where one chunk is very common.  Neighbouring repeated chunks of a document form a run, and a
-run of ``min_words`` words or more is reported; chance repeats of single chunks and digest
-collisions are too short for that.  A run is reported in parts: chunks that a smaller document
-has too are duplicates, the others are the copy to keep.
-
-Defined results: null and empty texts have no chunks; rows of one id are one document, rows
-without an id are left out; offsets are code points; very long texts are chunked whole.
+"""Substring dedup by winnowed word windows.
+
+A text is cut at ASCII white space, and every ``k`` words in a row are a window with a 64-bit
+digest.  Of each ``w`` windows in a row the one of smallest digest is selected (winnowing), and a
+text's first and last windows are too.  Which of ``w`` windows is smallest depends on their words
+only, so two texts that share k + w - 1 words share a selected window, whatever stands around
+them: with k + w - 1 <= min_words no passage of that length goes unseen.  Selected windows are at
+most ``w`` words apart, and ``k > w``, so those of one passage overlap, and they cover it but for
+at most w - 1 words at either end.
+
+Window digests are counted over all documents with partial aggregation; digests of two or more
+documents are joined back to the windows by an equi-join that adaptive execution splits where one
+window is very common.  Repeated windows of a document that overlap or touch form a run, and a
+run of ``min_words`` words or more is reported; chance repeats of single windows and digest
+collisions are too short for that.  Passages of min_words + 2 (w - 1) whole words (40 by default)
+or more are therefore always reported.  A run is reported in parts: what windows cover that a
+smaller document has too is a duplicate, the rest is the copy to keep.
+
+Defined results: words count, not the white space between them; null and empty texts and those of
+fewer than k words have no windows; rows of one id are one document, rows without an id are left
+out; offsets are code points; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -28,101 +32,125 @@ from pyspark.sql import functions as F
 
 from .common import materialize, workers
 
-#: Bits that must be zero at a boundary: 2**5 bytes a chunk on average.
-BOUNDARY_BITS = np.uint32(0b11111 << 11)
-MIN_CHUNK, MAX_CHUNK = 12, 256
-#: Words that whole repeated chunks must cover; a passage loses about a chunk at either end.
+#: Words that repeated windows must cover; a passage loses at most w - 1 (8) words at either end.
 MIN_WORDS = 24
-GEAR = np.random.RandomState(20240229).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
+#: Words of a window, and windows of which one is selected, at most.
+WINDOW_WORDS, WINNOW = 16, 9
+_RANDOM = np.random.RandomState(20240229)
+BYTES = _RANDOM.randint(0, 2**63, 256, dtype=np.uint64)
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNKS = "doc_id bigint, start int, stop int, words int, digest bigint"
-
-
-def cuts(data: np.ndarray) -> list[int]:
-    """Chunk ends of a text's bytes; the last is its length."""
-    h = GEAR[data]
-    for k in (1, 2, 4, 8):  # afterwards: the sum over the last 16 bytes, each shifted by its age
-        older = np.zeros_like(h)
-        older[k:] = h[:-k] << np.uint32(k)
-        h = h + older
-    # a boundary lies after its byte and before the first byte of a character
-    first = (data & 0xC0) != 0x80
-    ends = np.flatnonzero(((h[:-1] & BOUNDARY_BITS) == 0) & first[1:]) + 1
-    out, last, n = [], 0, len(data)
-    for end in [*ends.tolist(), n]:
-        while end - last > MAX_CHUNK:
-            at = last + MAX_CHUNK
-            while not first[at]:
-                at -= 1
-            out.append(at)
-            last = at
-        if end - last >= MIN_CHUNK or end == n and end > last:
-            out.append(end)
-            last = end
-    return out
-
-
-def chunks(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray, list[int]]:
-    """Digests of the chunks, their code-point offsets, words begun before each offset, and byte ends."""
-    import xxhash
+CHUNKS = "doc_id bigint, at int, start int, stop int, digest bigint"
 
+
+def sizes(min_words: int) -> tuple[int, int]:
+    """Words of a window (a power of two) and windows of which one is selected, so that min_words words have a selected one."""
+    k = 1
+    while 2 * k <= WINDOW_WORDS and 3 * k <= min_words:
+        k *= 2
+    return k, max(1, min(WINNOW, min_words - k + 1))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_digests(data: np.ndarray, starts: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each word: its bytes' random values weighted by powers of BASE."""
+    lengths = np.diff(np.append(starts, len(data)))
+    begin = int(starts[0])
+    place = np.arange(begin, len(data)) - np.repeat(starts, lengths)
+    powers = np.full(int(lengths.max()), BASE)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    values = BYTES[data[begin:]] * powers[place]
+    values[space[begin:]] = 0
+    return _mixed(np.add.reduceat(values, starts - begin))
+
+
+def chunks(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Selected windows in order: digests, code points where they stop, (first word, code point of the start), byte ends."""
+    k, w = sizes(min_words)
     data = np.frombuffer(text, np.uint8)
-    ends = cuts(data)
-    places = np.array([0, *ends])
+    space = _SPACE[data]
+    edges = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    if len(starts) < k:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none.reshape(0, 2), none
+    h, step = _word_digests(data, starts, space), 1
+    while step < k:  # afterwards: the digest of the k words from each on
+        h = _mixed(h[:-step] * BASE + h[step:])
+        step *= 2
+    near = np.lib.stride_tricks.sliding_window_view(h, min(w, len(h)))
+    picked = np.zeros(len(h), bool)
+    picked[near.argmin(axis=1) + np.arange(len(near))] = True
+    picked[[0, -1]] = True
+    at = np.flatnonzero(picked)
     points = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-    space = _SPACE[data]
-    begun = np.zeros(len(data) + 1, np.int64)
-    starts = ~space
-    starts[1:] &= space[:-1]
-    np.cumsum(starts, out=begun[1:])
-    digest = xxhash.xxh3_64_intdigest
-    at, digests = 0, []
-    for end in ends:
-        digests.append(digest(text[at:end]))
-        at = end
-    return digests, points[places], begun[places], ends
-
-
-def _chunk_rows(frame: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("digest", pa.int64())])
-    for batch in frame:
-        ids, starts, stops, words, digests = [], [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            if not text or doc is None:
-                continue
-            found, points, begun, _ = chunks(text)
-            ids.append(np.full(len(found), doc, np.int64))
-            starts.append(points[:-1])
-            stops.append(points[1:])
-            words.append(np.diff(begun))
-            digests.append(np.array(found, np.uint64).view(np.int64))
-        if ids:
-            columns = [np.concatenate(ids), *(np.concatenate(c).astype(np.int32) for c in (starts, stops, words)), np.concatenate(digests)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+    stop = ends[at + k - 1]
+    return h[at], points[stop], np.stack([at, points[starts[at]]], axis=1), stop
+
+
+def _chunk_rows(min_words: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.int64())])
+
+    def run(frame: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frame:
+            ids, begins, stops, digests = [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if not text or doc is None:
+                    continue
+                found, stop, begin, _ = chunks(text, min_words)
+                ids.append(np.full(len(found), doc, np.int64))
+                begins.append(begin)
+                stops.append(stop)
+                digests.append(found)
+            if ids:
+                begin = np.concatenate(begins).astype(np.int32)
+                columns = [np.concatenate(ids), np.ascontiguousarray(begin[:, 0]), np.ascontiguousarray(begin[:, 1]), np.concatenate(stops).astype(np.int32), np.concatenate(digests).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return run
 
 
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, stop, n_words, first_doc_id, duplicate: every span that other documents have too.
 
-    Runs of min_words words are cut where chunks change between duplicates and first copies, and
-    each part is a row.  first_doc_id: the smallest document with a chunk of the part; duplicate:
-    smaller documents have all its chunks, so that removing the spans marked leaves one copy.
+    Runs of min_words words are cut where windows that smaller documents have begin and end to
+    cover them, and each part is a row.  first_doc_id: the smallest document with a window of the
+    part; duplicate: smaller documents have all of it, so that removing the spans marked leaves
+    one copy.
     """
     workers(df.sparkSession)
+    k, _ = sizes(min_words)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
-    found = docs.mapInArrow(_chunk_rows, CHUNKS)
-    counted = found.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = materialize(counted.where("first != last").select("digest", "first"), "repeated-chunks")
-    hits = docs.mapInArrow(_chunk_rows, CHUNKS).join(shared, "digest").select("doc_id", "start", "stop", "words", "first").distinct()
-    w = Window.partitionBy("doc_id").orderBy("start", "stop")
-    begins = F.coalesce((F.lag("stop").over(w) < F.col("start")).cast("int"), F.lit(1))
-    marked = hits.withColumn("begins", begins).withColumn("duplicate", F.col("first") != F.col("doc_id"))
-    turns = F.greatest("begins", F.coalesce((F.lag("duplicate").over(w) != F.col("duplicate")).cast("int"), F.lit(1)))
+    rows = docs.mapInArrow(_chunk_rows(min_words), CHUNKS)
+    counted = rows.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    shared = materialize(counted.where("first != last").select("digest", "first"), "repeated-windows")
+    hits = docs.mapInArrow(_chunk_rows(min_words), CHUNKS).join(shared, "digest").select("doc_id", "at", "start", "stop", "first", (F.col("first") != F.col("doc_id")).alias("again")).distinct()
+    w = Window.partitionBy("doc_id").orderBy("at", "start", "stop", "first")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("turns", turns).withColumn("run", F.sum("begins").over(so_far)).withColumn("part", F.sum("turns").over(so_far))
-    parts = marked.groupBy("doc_id", "run", "part", "duplicate").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
+    begins = F.coalesce((F.lag("at").over(w) + k < F.col("at")).cast("int"), F.lit(1))
+    # what a window adds ends where the next one starts; windows are of one length, so the last duplicate reaches furthest
+    reach = F.last(F.when(F.col("again"), F.struct("at", "stop", "first")), ignorenulls=True).over(so_far)
+    marked = hits.withColumn("begins", begins).withColumn("reach", reach).withColumn("next", F.lead(F.struct("at", "start")).over(w))
+    marked = marked.withColumn("run", F.sum("begins").over(so_far))
+    inner = F.col("next.at") <= F.col("at") + k
+    to, to_stop = F.when(inner, F.col("next.at")).otherwise(F.col("at") + k), F.when(inner, F.col("next.start")).otherwise(F.col("stop"))
+    covered = F.least(to, F.greatest(F.col("at"), F.coalesce(F.col("reach.at") + k, F.col("at"))))
+    marked = marked.withColumns({"to": to, "to_stop": to_stop, "covered": covered})
+    cut = F.when(F.col("covered") == F.col("to"), F.col("to_stop")).when(F.col("covered") == F.col("at"), F.col("start")).otherwise(F.col("reach.stop"))
+    piece = lambda again, at, start, to, stop, first: F.struct(F.lit(again).alias("duplicate"), at.alias("at"), start.alias("start"), to.alias("to"), stop.alias("stop"), first.alias("first"))
+    pieces = F.array(piece(True, F.col("at"), F.col("start"), F.col("covered"), cut, F.col("reach.first")), piece(False, F.col("covered"), cut, F.col("to"), F.col("to_stop"), F.col("doc_id")))
+    pieces = marked.select("doc_id", "run", F.inline(F.filter(pieces, lambda x: x["at"] < x["to"])))
+    w = Window.partitionBy("doc_id").orderBy("at", "start", "stop", "first")
+    turns = F.coalesce(((F.lag("duplicate").over(w) != F.col("duplicate")) | (F.lag("run").over(w) != F.col("run"))).cast("int"), F.lit(1))
+    pieces = pieces.withColumn("turns", turns).withColumn("part", F.sum("turns").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = pieces.groupBy("doc_id", "run", "part", "duplicate").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(F.col("to") - F.col("at")).alias("n_words"), F.min("first").alias("first_doc_id"))
     parts = parts.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
     return parts.where(F.col("run_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_words", "first_doc_id", "duplicate")
 

@@ -208,6 +208,20 @@ def test_every_passage_keeps_a_copy(spark):
     assert (left[3], left[4]) == (texts[3], texts[4]) and one not in left[5] and two not in left[5]
 
 
+def test_short_passages_are_not_missed(spark):
+    r = random.Random(11)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(1, 8))) for _ in range(n))
+    passages = [words(51 + i % 10) for i in range(300)]
+    texts = [f"{words(r.randrange(90))} {p} {words(r.randrange(90))}".strip() for p in passages * 2]
+    spans, got = substring_dedup.repeated_spans(docs(spark, texts)).collect(), {}
+    assert {s.doc_id for s in spans} == set(range(600))
+    for s in spans:
+        found = texts[s.doc_id][s.start : s.stop].strip()
+        assert found in passages[s.doc_id % 300] and len(found.split()) == s.n_words and s.n_words >= 51 + s.doc_id % 10 - 16
+        got[s.doc_id] = (s.first_doc_id, s.duplicate)
+    assert got == {i: (i % 300, i >= 300) for i in range(600)}
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "a" * 192, "é🦙" * 100, prose(3, 500), prose(3, 500)]
     got = {r.doc_id: r for r in media.media_columns(docs(spark, texts)).collect()}
