@@ -8,17 +8,18 @@ them: with k + w - 1 <= min_words no passage of that length goes unseen.  Select
 most ``w`` words apart, and ``k > w``, so those of one passage overlap, and they cover it but for
 at most w - 1 words at either end.
 
-Window digests are counted over all documents with partial aggregation; digests of two or more
-documents are joined back to the windows by an equi-join that adaptive execution splits where one
+Window digests are counted over all texts with partial aggregation; digests of two or more
+places are joined back to the windows by an equi-join that adaptive execution splits where one
 window is very common.  Repeated windows of a document that overlap or touch form a run, and a
 run of ``min_words`` words or more is reported; chance repeats of single windows and digest
 collisions are too short for that.  Passages of min_words + 2 (w - 1) whole words (40 by default)
 or more are therefore always reported.  A run is reported in parts: what windows cover that a
-smaller document has too is a duplicate, the rest is the copy to keep.
+smaller document has too, or the same text before, is a duplicate, the rest is the copy to keep.
+A window that overlaps its own first place is no duplicate, so a repeated word keeps k of its kind.
 
 Defined results: words count, not the white space between them; null and empty texts and those of
-fewer than k words have no windows; rows of one id are one document, rows without an id are left
-out; offsets are code points; very long texts are taken whole.
+fewer than k words have no windows; rows of one id are one document, and what repeats only
+between them is reported but never a duplicate, as cuts go by id; rows without an id are left out; offsets are code points; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ BYTES = _RANDOM.randint(0, 2**63, 256, dtype=np.uint64)
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNKS = "doc_id bigint, at int, start int, stop int, digest bigint"
+CHUNKS = "doc_id bigint, at int, start int, stop int, again boolean, digest bigint"
 
 
 def sizes(min_words: int) -> tuple[int, int]:
@@ -95,12 +96,19 @@ def chunks(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndar
     return h[at], points[stop], np.stack([at, points[starts[at]]], axis=1), stop
 
 
+def _later(digests: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Whether a window stands before in its text, without overlapping that first place."""
+    _, first, which = np.unique(digests, return_index=True, return_inverse=True)
+    return at >= at[first][which] + k
+
+
 def _chunk_rows(min_words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.int64())])
+    k, _ = sizes(min_words)
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("again", pa.bool_()), ("digest", pa.int64())])
 
     def run(frame: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frame:
-            ids, begins, stops, digests = [], [], [], []
+            ids, begins, stops, again, digests = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text or doc is None:
                     continue
@@ -108,49 +116,53 @@ def _chunk_rows(min_words: int):
                 ids.append(np.full(len(found), doc, np.int64))
                 begins.append(begin)
                 stops.append(stop)
+                again.append(_later(found, begin[:, 0], k))
                 digests.append(found)
             if ids:
                 begin = np.concatenate(begins).astype(np.int32)
-                columns = [np.concatenate(ids), np.ascontiguousarray(begin[:, 0]), np.ascontiguousarray(begin[:, 1]), np.concatenate(stops).astype(np.int32), np.concatenate(digests).view(np.int64)]
+                columns = [np.concatenate(ids), np.ascontiguousarray(begin[:, 0]), np.ascontiguousarray(begin[:, 1]), np.concatenate(stops).astype(np.int32), np.concatenate(again), np.concatenate(digests).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return run
 
 
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, stop, n_words, first_doc_id, duplicate: every span that other documents have too.
+    """doc_id, start, stop, n_words, first_doc_id, duplicate: every span that stands in another place too.
 
-    Runs of min_words words are cut where windows that smaller documents have begin and end to
-    cover them, and each part is a row.  first_doc_id: the smallest document with a window of the
-    part; duplicate: smaller documents have all of it, so that removing the spans marked leaves
-    one copy.
+    Runs of min_words words are cut where windows that smaller documents or earlier places of the
+    document have begin and end to cover them, and each part is a row.  first_doc_id: the smallest
+    document with a window of the part; duplicate: such places have all of it, so that removing
+    the spans marked leaves one copy.
     """
-    workers(df.sparkSession)
+    workers(df.sparkSession, "4m")
     k, _ = sizes(min_words)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     rows = docs.mapInArrow(_chunk_rows(min_words), CHUNKS)
-    counted = rows.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = materialize(counted.where("first != last").select("digest", "first"), "repeated-windows")
-    hits = docs.mapInArrow(_chunk_rows(min_words), CHUNKS).join(shared, "digest").select("doc_id", "at", "start", "stop", "first", (F.col("first") != F.col("doc_id")).alias("again")).distinct()
-    w = Window.partitionBy("doc_id").orderBy("at", "start", "stop", "first")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.coalesce((F.lag("at").over(w) + k < F.col("at")).cast("int"), F.lit(1))
-    # what a window adds ends where the next one starts; windows are of one length, so the last duplicate reaches furthest
-    reach = F.last(F.when(F.col("again"), F.struct("at", "stop", "first")), ignorenulls=True).over(so_far)
-    marked = hits.withColumn("begins", begins).withColumn("reach", reach).withColumn("next", F.lead(F.struct("at", "start")).over(w))
-    marked = marked.withColumn("run", F.sum("begins").over(so_far))
-    inner = F.col("next.at") <= F.col("at") + k
-    to, to_stop = F.when(inner, F.col("next.at")).otherwise(F.col("at") + k), F.when(inner, F.col("next.start")).otherwise(F.col("stop"))
-    covered = F.least(to, F.greatest(F.col("at"), F.coalesce(F.col("reach.at") + k, F.col("at"))))
-    marked = marked.withColumns({"to": to, "to_stop": to_stop, "covered": covered})
-    cut = F.when(F.col("covered") == F.col("to"), F.col("to_stop")).when(F.col("covered") == F.col("at"), F.col("start")).otherwise(F.col("reach.stop"))
-    piece = lambda again, at, start, to, stop, first: F.struct(F.lit(again).alias("duplicate"), at.alias("at"), start.alias("start"), to.alias("to"), stop.alias("stop"), first.alias("first"))
-    pieces = F.array(piece(True, F.col("at"), F.col("start"), F.col("covered"), cut, F.col("reach.first")), piece(False, F.col("covered"), cut, F.col("to"), F.col("to_stop"), F.col("doc_id")))
-    pieces = marked.select("doc_id", "run", F.inline(F.filter(pieces, lambda x: x["at"] < x["to"])))
-    w = Window.partitionBy("doc_id").orderBy("at", "start", "stop", "first")
-    turns = F.coalesce(((F.lag("duplicate").over(w) != F.col("duplicate")) | (F.lag("run").over(w) != F.col("run"))).cast("int"), F.lit(1))
-    pieces = pieces.withColumn("turns", turns).withColumn("part", F.sum("turns").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = pieces.groupBy("doc_id", "run", "part", "duplicate").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(F.col("to") - F.col("at")).alias("n_words"), F.min("first").alias("first_doc_id"))
+    counted = rows.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("places"))
+    shared = materialize(counted.where("places > 1").select("digest", "first"), "repeated-windows")
+    hits = docs.mapInArrow(_chunk_rows(min_words), CHUNKS).join(shared, "digest").select("doc_id", "at", "start", "stop", "first", (F.col("again") | (F.col("first") != F.col("doc_id"))).alias("again"))
+    w = Window.partitionBy("doc_id").orderBy("at", "start", "stop")
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    marked = hits.select(
+        "doc_id", "at", "start", "stop", F.when(F.col("again"), F.col("first")).alias("first"),
+        F.coalesce((F.lag("at").over(w) + k < F.col("at")).cast("int"), F.lit(1)).alias("begins"), F.lead("at").over(w).alias("next"), F.lead("start").over(w).alias("next_start"),
+        # windows are of one length, so the last duplicate reaches furthest
+        F.max(F.when(F.col("again"), F.col("at") + k)).over(so_far).alias("reach"), F.max(F.when(F.col("again"), F.col("stop"))).over(so_far).alias("reach_stop"))
+    # what a window adds ends where the next one starts; up to the reach of duplicates it is one
+    inner = F.col("next") <= F.col("at") + k
+    marked = marked.withColumns({"to": F.when(inner, F.col("next")).otherwise(F.col("at") + k), "to_stop": F.when(inner, F.col("next_start")).otherwise(F.col("stop"))})
+    marked = marked.withColumn("cut", F.least("to", F.greatest("at", F.coalesce("reach", "at"))))
+    marked = marked.withColumn("cut_stop", F.when(F.col("cut") == F.col("to"), F.col("to_stop")).when(F.col("cut") == F.col("at"), F.col("start")).otherwise(F.col("reach_stop")))
+    head, tail = F.when(F.col("to") > F.col("at"), F.col("cut") > F.col("at")), F.when(F.col("to") > F.col("at"), F.col("cut") == F.col("to"))
+    marked = marked.withColumn("was", F.last(tail, ignorenulls=True).over(before)).withColumn("turns", F.greatest("begins", F.coalesce((F.col("was") != head).cast("int"), F.lit(0))))
+    split = (head & ~tail).cast("int")
+    marked = marked.withColumn("run", F.sum("begins").over(so_far)).withColumn("part", F.sum("turns").over(so_far) + F.coalesce(F.sum(split).over(before), F.lit(0)))
+    piece = lambda duplicate, part, start, stop, words, first: F.struct(F.lit(duplicate).alias("duplicate"), part.alias("part"), start.alias("start"), stop.alias("stop"), words.alias("words"), first.alias("first"))
+    pieces = F.array(
+        piece(True, F.col("part"), F.col("start"), F.col("cut_stop"), F.col("cut") - F.col("at"), F.col("first")),
+        piece(False, F.col("part") + split, F.col("cut_stop"), F.col("to_stop"), F.col("to") - F.col("cut"), F.col("doc_id")))
+    pieces = marked.select("doc_id", "run", F.inline(F.filter(pieces, lambda x: x["words"] > 0)))
+    parts = pieces.groupBy("doc_id", "run", "part", "duplicate").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
     parts = parts.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
     return parts.where(F.col("run_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_words", "first_doc_id", "duplicate")
 

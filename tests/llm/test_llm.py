@@ -222,6 +222,19 @@ def test_short_passages_are_not_missed(spark):
     assert got == {i: (i % 300, i >= 300) for i in range(600)}
 
 
+def test_repeats_inside_a_document(spark):
+    block = prose(500, 120)
+    texts = [f"{prose(501, 40)} " + f"{block} " * 9 + prose(502, 40), "der " * 400, prose(503, 300)]
+    table = docs(spark, texts)
+    spans = substring_dedup.repeated_spans(table)
+    left = {r.doc_id: r.text for r in substring_dedup.cut_spans(table, spans).collect()}
+    assert left[0].count(block) == 1 and len(left[0]) < len(texts[0]) - 7 * len(block) and left[0].endswith(prose(502, 40))
+    assert left[1].split() == ["der"] * substring_dedup.WINDOW_WORDS and left[2] == texts[2]
+    same = spark.createDataFrame([(7, block), (7, f"{prose(504, 30)} {block}")], "doc_id bigint, text string")
+    got = substring_dedup.repeated_spans(same).collect()
+    assert got and not any(r.duplicate for r in got)
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "a" * 192, "é🦙" * 100, prose(3, 500), prose(3, 500)]
     got = {r.doc_id: r for r in media.media_columns(docs(spark, texts)).collect()}
