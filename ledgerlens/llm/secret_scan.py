@@ -2,7 +2,7 @@
 
 Base kinds are found by pattern: ``assign`` (a named value), ``access`` (an access key id) and
 ``hex`` (a long run of hex digits).  Every other run of ``MIN_TOKEN`` or more token characters is
-a candidate.  Its encoding is inferred (hex, base 32, letters and digits, base 64), and under the
+a candidate.  Its encoding is inferred (the first of ``ALPHABETS`` that has all its characters), and under the
 hypothesis that it is random in that encoding three tests are made: chi-squared uniformity over
 the alphabet, the number of runs above and below the mean symbol, and the serial correlation of
 neighbours.  A candidate that passes all of them is then held against ordinary text: equal pairs
@@ -20,6 +20,8 @@ are code points, ends exclusive.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,11 @@ FALSE_DISCOVERIES = 0.01
 #: |z| beyond which randomness is rejected (about one in 1,700).
 REJECT = 3.4
 BINS = 400
-ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"}
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Smaller alphabets before those that contain them; ``mixed`` takes what is in neither base 64.
+ALPHABETS = {
+    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "base32_lower": _LOWER + "234567", "base36": _DIGITS + _LOWER, "BASE36": _DIGITS + _UPPER,
+    "alnum": _DIGITS + _UPPER + _LOWER, "base64": _UPPER + _LOWER + _DIGITS + "+/", "base64url": _UPPER + _LOWER + _DIGITS + "-_", "mixed": _UPPER + _LOWER + _DIGITS + "+/-_"}
 
 
 def _once(value: Column, body) -> Column:
@@ -85,7 +91,10 @@ def base_spans(text: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    return F.when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[0-9A-F]+$"), "HEX").when(token.rlike("^[A-Z2-7]+$"), "base32").when(token.rlike("^[0-9A-Za-z]+$"), "alnum").otherwise("base64")
+    out = F.lit("mixed")
+    for kind, letters in [*ALPHABETS.items()][-2::-1]:
+        out = F.when(token.rlike(f"^[{re.escape(letters)}]+$"), kind).otherwise(out)
+    return out
 
 
 def _battery(token: Column) -> Column:
@@ -94,7 +103,7 @@ def _battery(token: Column) -> Column:
     def measure(v: Column) -> Column:
         kind, chars = v.kind, v.chars
         n = F.size(chars).cast("double")
-        letters = F.create_map(*[F.lit(x) for k, a in ALPHABETS.items() for x in (k, a)])[kind]
+        letters = v.letters
         size = F.length(letters).cast("double")
         counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)))
         squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
@@ -104,7 +113,7 @@ def _battery(token: Column) -> Column:
         def tests(x: Column) -> Column:
             chi = size / n * x.squares - n
             uniform = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-            mean = F.aggregate(x.codes, F.lit(0.0), lambda a, c: a + c) / n
+            mean = x.mean
             high = F.aggregate(x.codes, F.lit(0.0), lambda a, c: a + F.when(c > mean, 1.0).otherwise(0.0))
             pairs = F.arrays_zip(F.slice(x.codes, F.lit(1), F.size(x.codes) - 1).alias("a"), F.slice(x.codes, F.lit(2), F.size(x.codes) - 1).alias("b"))
             runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.when((p["a"] > mean) != (p["b"] > mean), 1.0).otherwise(0.0))
@@ -126,9 +135,17 @@ def _battery(token: Column) -> Column:
             random = (uniform < REJECT) & (F.abs((runs - expected) / spread) < REJECT) & (F.abs(serial) < REJECT)
             return F.struct(x.kind.alias("encoding"), uniform.alias("uniform"), ((runs - expected) / spread).alias("runs"), serial.alias("serial"), p.alias("p"), random.alias("random"))
 
-        return _once(F.struct(kind.alias("kind"), codes.alias("codes"), squares.alias("squares"), kinds.alias("kinds")), tests)
+        def with_mean(y: Column) -> Column:  # a field, so that it is not taken anew for every character
+            mean = F.aggregate(y.codes, F.lit(0.0), lambda a, c: a + c) / n
+            return _once(F.struct(y.kind.alias("kind"), y.codes.alias("codes"), y.squares.alias("squares"), y.kinds.alias("kinds"), mean.alias("mean")), tests)
+
+        return _once(F.struct(kind.alias("kind"), codes.alias("codes"), squares.alias("squares"), kinds.alias("kinds")), with_mean)
+
+    def with_letters(u: Column) -> Column:
+        letters = F.create_map(*[F.lit(x) for k, a in ALPHABETS.items() for x in (k, a)])[u.kind]
+        return _once(F.struct(u.kind.alias("kind"), u.chars.alias("chars"), letters.alias("letters")), measure)
 
-    return _once(F.struct(encoding(token).alias("kind"), F.filter(F.split(token, ""), lambda c: c != "").alias("chars")), measure)
+    return _once(F.struct(encoding(token).alias("kind"), F.filter(F.split(token, ""), lambda c: c != "").alias("chars")), with_letters)
 
 
 def _length_class(start: Column, stop: Column) -> Column:

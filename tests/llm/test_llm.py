@@ -64,6 +64,19 @@ def test_secrets(spark):
     assert not got[5].secrets and not got[3].secrets and got[5].cut == texts[5]
 
 
+def test_random_tokens_of_every_encoding(spark):
+    r = random.Random(17)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    letters = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base32": up + "234567", "base32_lower": low + "234567", "base36": digits + low, "BASE36": digits + up, "alnum": digits + up + low, "base64": up + low + digits + "+/", "base64url": up + low + digits + "-_"}
+    rows = [(k, n, "".join(r.choice(a) for _ in range(n))) for k, a in letters.items() for n, times in ((32, 10), (64, 10), (100, 10), (1600, 2), (5000, 1)) for _ in range(times)]
+    table = spark.createDataFrame(rows, "kind string, n int, text string").repartition(8)
+    got = table.select("kind", "n", F.explode(secret_scan._candidates(F.col("text"))).alias("c")).select("kind", "n", "c.random", "c.encoding").collect()
+    assert len(got) == len(rows)
+    for k in letters:
+        assert sum(x.random for x in got if x.kind == k) >= 31, k
+        assert all(x.encoding == k for x in got if x.kind == k and x.n >= 1600)
+
+
 def test_decontamination_blocks_and_offsets(spark):
     items = [(1, prose(1, 40)), (1, prose(1, 40)), (2, "Kurz und gut"), (3, None), (4, ""), (5, prose(2, 15))]
     long = prose(9, 300)
