@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, ngram_join, secret_scan, sentencepiece_bpe, toxicity
@@ -25,14 +25,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near copies the document with the smallest id; rows without an id stay."""
-    found = materialize(ngram_join.near_duplicates(docs.select("doc_id", "text")), "components")
-    gone = found.where("doc_id != component_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        # repeated rows of an id are copies too
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of every component of near copies the row with the smallest id, then text digest; rows without an id stay.
+
+    Rows of one id are told apart by their texts; of rows with the same id and text the first by all columns stays.
+    """
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        found = materialize(ngram_join.near_duplicates(docs.select("doc_id", "text")), "components")
+        gone = found.where("doc_id != component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.where("doc_id is not null").withColumn("__digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    numbers = rows.select("doc_id", "__digest").distinct().orderBy("doc_id", "__digest").withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows.join(materialize(numbers, "numbers"), ["doc_id", "__digest"]), "rows")
+    found = materialize(ngram_join.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")), "components")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__row")).distinct()
+    kept = rows.join(gone, "__row", "left_anti").withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy(*docs.columns)))
+    return kept.where("__copy = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

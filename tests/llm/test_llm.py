@@ -277,3 +277,13 @@ def test_pipeline(spark, tmp_path):
             clean = {r.doc_id: (r.text, r.n_chars) for r in table.collect()}
     assert kept == [[0, 1, 3, 4, 5, 6], [0, 3, 4, 5, 6], [0, 4, 5, 6], [0, 4, 5, 6], [0, 4, 5, 6]]
     assert clean[4] == (f"{prose(4, 60)} [SECRET]", len(prose(4, 60)) + 9) and clean[0][0] == texts[0]
+
+
+def test_pipeline_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline as p
+
+    one, two, three = prose(600, 60), prose(601, 60), prose(602, 60)
+    rows = [(1, one, 1), (1, one, 1), (2, two, 1), (2, three, 1), (3, one, 1), (3, prose(603, 60), 1), (4, None, 0), (4, None, 0), (None, one, 1)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    got = [(r.doc_id, r.text) for r in p.keep_one_copy(spark, table, "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, one), (2, two), (2, three), (3, prose(603, 60)), (4, None), (None, one)], key=repr)
