@@ -18,8 +18,9 @@ Blocks whose counter says they are large are first dealt into parts, whose heads
 one another.  What is connected is then one component, and only pairs of *different* components
 that share a prefix shingle are still listed, all of them, so that no link is missed while the
 square of a group is never written.  Length, prefix and positional filters act in these steps; the suffix
-filter (an upper bound from counts of set members by hash range) acts on distinct pairs; what
-remains is verified once, exactly, on the whole sets.
+filter acts on distinct pairs: each set has a bitmap of SIGNATURE_BITS bits a shingle or more, and two
+bitmaps cannot differ in more places than their sets.  What remains is verified once, exactly, on
+the whole sets.
 
 Defined results: null and empty texts have size 0 and are their own component; rows with a null
 id have a null component; repeated rows are copies; other columns are not carried.
@@ -47,11 +48,11 @@ BLOCK = 4000
 #: While blocks hold more pairs of different components than this a row, and the last time has taken a quarter of them or more,
 #: members are chained anew in another order, so many times at most; all pairs that are left are listed afterwards.
 PAIRS_A_ROW, ROUNDS = 2, 4
-#: Hash ranges of the suffix filter.
-RANGES = 64
+#: Bits a shingle in the bitmaps of the suffix filter, at least; their sizes are powers of two.
+SIGNATURE_BITS = 4
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_MEMO = 500_000
+_MEMO = 200_000
 
 
 class Shingler:
@@ -96,7 +97,17 @@ def _batches(frame: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
 
 
-_SETS = "kind int, key bigint, n bigint, d1 bigint, d2 bigint, ranges array<int>"
+_SETS = "kind int, key bigint, n bigint, d1 bigint, d2 bigint, bits array<bigint>"
+
+
+def signature(members: np.ndarray) -> np.ndarray:
+    """The bitmap of a set as 64-bit words; its number of words is a power of two, so that halves fold onto each other."""
+    places = 64
+    while places < SIGNATURE_BITS * len(members):
+        places *= 2
+    held = np.zeros(places, bool)
+    held[(members & np.uint64(places - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").view(np.int64)
 
 
 def _describe(width: int, bits: int):
@@ -106,28 +117,29 @@ def _describe(width: int, bits: int):
         import xxhash
 
         shingler, counters, seen = Shingler(width), np.zeros(1 << bits, np.int64), set()
-        kinds = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("ranges", pa.list_(pa.int32()))])
+        kinds = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64()))])
         for ids, texts in _batches(frame):
-            n, digests, ranges = [], [], []
+            n, digests, signs = [], [], []
             for text in texts:
                 members = shingler.members(text)
                 n.append(len(members))
                 digest = xxhash.xxh3_128_digest(members.tobytes())
                 digests.append(digest)
-                ranges.append(np.bincount((members >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                signs.append(signature(members))
                 if digest not in seen:
                     if len(seen) < _MEMO:
                         seen.add(digest)
                     np.add.at(counters, (members & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
             if n:
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(np.concatenate(ranges)))
+                ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), flat], schema=kinds)
         used = np.flatnonzero(counters)
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]
             nulls = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), pa.array(part), pa.array(counters[part]), nulls, nulls, pa.nulls(len(part), pa.list_(pa.int32()))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), pa.array(part), pa.array(counters[part]), nulls, nulls, pa.nulls(len(part), pa.list_(pa.int64()))], schema=kinds)
 
     return run
 
@@ -172,13 +184,15 @@ def _overlap(width: int):
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         shingler = Shingler(width)
-        last: tuple[bytes, np.ndarray] = (b"", shingler.members(b""))
+        none = b"", shingler.members(b"")
+        last = [none, none]
         for left, right in batches:
             na, nb, both = [], [], []
-            for x, y in zip(left.cast(pa.binary()).to_pylist(), right.cast(pa.binary()).to_pylist(), strict=True):
-                if x != last[0]:  # pairs come by their first text
-                    last = x, shingler.members(x)
-                p, q = last[1], shingler.members(y)
+            for pair in zip(left.cast(pa.binary()).to_pylist(), right.cast(pa.binary()).to_pylist(), strict=True):
+                for k, x in enumerate(pair):  # pairs come sorted by one side
+                    if x != last[k][0]:
+                        last[k] = x, shingler.members(x)
+                p, q = last[0][1], last[1][1]
                 na.append(len(p))
                 nb.append(len(q))
                 both.append(len(np.intersect1d(p, q, assume_unique=True)))
@@ -233,25 +247,28 @@ def _left_to_try(mixed: DataFrame) -> tuple[int, int]:
     return rows or 0, int(left or 0)
 
 
+def _differ(x: Column, y: Column) -> Column:
+    """In how many places two bitmaps differ; the longer one is folded to the size of the other."""
+    folded = lambda r, o: F.when(
+        F.size(r) > F.size(o), F.zip_with(F.slice(r, 1, F.size(o)), F.slice(r, F.size(o) + 1, F.size(o)), lambda p, q: p.bitwiseOR(q))).otherwise(r)
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, groups: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (x, y of sids), and the links (a, b of representatives) among them."""
-    side = lambda s: groups.select(F.col("d1").alias(s), F.col("n").alias(f"n{s}"), F.col("ranges").alias(f"r{s}"))
-    known = pairs.join(side("x"), "x").join(side("y"), "y")
-    both = F.aggregate(F.zip_with("rx", "ry", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    kept = materialize(known.where(both >= _needed(F.col("nx"), F.col("ny"))).select("x", "y", "nx", "ny").distinct(), "pairs")
-    sids = kept.select(F.explode(F.array("x", "y")).alias("d1")).distinct()
-    reps = materialize(groups.join(sids, "d1", "left_semi").select(F.col("rep").alias("doc_id"), F.col("d1").alias("sid")), "reps")
-    # texts move, not sets: they are smaller; few rows pass the bitmap into the shuffle
-    texts = docs.where(may_be_in("doc_id", reps.select("doc_id"))).join(reps, "doc_id")
-    texts = materialize(texts.select("doc_id", "sid", "text"), "texts")
-    left = texts.select(F.col("sid").alias("x"), F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("sid").alias("y"), F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    met = kept.join(left, "x").join(right, "y").select("a", "b", _overlap(width)("ta", "tb").alias("o"))
+    """Distinct pairs (x, y of sids) that pass the suffix filter, and the links (a, b of representatives) among them."""
+    side = lambda s, rep: groups.select(F.col("d1").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"), F.col("rep").alias(rep))
+    known = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y")
+    # sets of sizes in reach of each other have bitmaps of one size or of two in a row
+    near = F.col("nx") + F.col("ny") - 2 * _needed(F.col("nx"), F.col("ny"))
+    kept = materialize(known.where(_differ(F.col("bx"), F.col("by")) <= near).select("x", "y", "a", "b").distinct(), "pairs")
+    met = kept.select("a", "b").where("a != b").distinct()
+    # texts move, not sets: they are smaller; few rows pass the bitmap into the shuffle, which both sides share
+    texts = docs.where(may_be_in("doc_id", met.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    met = met.join(left, "a").join(right, "b").select("a", "b", _overlap(width)("ta", "tb").alias("o"))
     # where rows of one id have several texts, or digests collide in 64 bits, all combinations are tried
     links = met.where(F.col("o.both") * (NUMERATOR + DENOMINATOR) >= (F.col("o.na") + F.col("o.nb")) * NUMERATOR).where("o.both > 0").select("a", "b")
-    links = materialize(links, "links")
-    discard(texts, reps)
-    return kept.select("x", "y"), links
+    return kept, materialize(links, "links")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, sketch_bits: int = SKETCH_BITS, block: int = BLOCK) -> DataFrame:
@@ -265,8 +282,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     for r in base.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
         counters[r.key] = r.n
     held = spark.sparkContext.broadcast(counters)
-    sets = base.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "d1", "d2", "ranges")
-    groups = materialize(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").cast("int").alias("n"), F.any_value("ranges").alias("ranges")), "classes")
+    sets = base.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "d1", "d2", "bits")
+    groups = materialize(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").cast("int").alias("n"), F.any_value("bits").alias("bits")), "classes")
 
     entries = docs.where("doc_id is not null").mapInArrow(_prefixes(width, sketch_bits, held, block), "token bigint, part int, sid bigint, n int, pos int")
     w = Window.partitionBy("token", "part").orderBy("n", "sid", "pos")
@@ -279,9 +296,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     over = Window.partitionBy("token").orderBy("h", "part")
     heads = heads.withColumn("p", F.lag("h").over(over)).where("p.sid != h.sid").select(*_pair("h.sid", "p.sid"))
     tried, links = _verify(_chained(shared, "sid").unionByName(heads).distinct(), docs, groups, width)
+    written = [groups, tried, links]
+    tried = tried.select("x", "y")
 
     def roots(found: DataFrame) -> DataFrame:
-        return materialize(groups.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "rep", F.coalesce("root", "rep").alias("root")), "roots")
+        joined = components(found)
+        out = materialize(groups.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "rep", F.coalesce("root", "rep").alias("root")), "roots")
+        discard(joined)
+        return out
 
     def members_of_several(at: DataFrame) -> DataFrame:
         """Entries of tokens whose members are in more than one component, with the component."""
@@ -302,15 +324,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         w = Window.partitionBy("token", "part").orderBy("n", F.xxhash64("sid", F.lit(k)), "pos")
         chained = _chained(mixed.withColumn("near", _last_near(w, "sid", "n", "pos", "root")), "root").distinct()
         again, more = _verify(chained.join(tried, ["x", "y"], "left_anti"), docs, groups, width)
-        tried, links = tried.unionByName(again), links.unionByName(more)
-        discard(mixed)
+        written += [again, more]
+        tried, links = tried.unionByName(again.select("x", "y")), links.unionByName(more)
+        discard(mixed, at)
         at = roots(links)
         mixed = members_of_several(at)
     p, q = mixed.drop("part").alias("p"), mixed.drop("part").alias("q")
     cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & _may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"))).select(*_pair("p.sid", "q.sid")).distinct()
-    _, more = _verify(cross.join(tried, ["x", "y"], "left_anti"), docs, groups, width)
+    again, more = _verify(cross.join(tried, ["x", "y"], "left_anti"), docs, groups, width)
     discard(mixed, shared)
     if more.head(1):
+        discard(at)
         at = roots(links.unionByName(more))
+    discard(*written, again, more)
     out = sets.join(at, ["d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))

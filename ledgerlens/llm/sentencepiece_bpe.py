@@ -32,8 +32,10 @@ from .common import workers
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered segments and neighbour checks in one worker; the tables start anew when full.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 100_000
 MEMO_LENGTH = 48
+#: What one batch of texts may hold: a worker has its texts, ids and decoded texts at once.
+BATCH = "2m"
 
 
 #: Ways to cut a text, the finest first; an encoder takes the first that cuts none of its pieces.
@@ -199,7 +201,7 @@ def encode_decode(df: DataFrame, model_file: str, text: str = "text", ids: str =
             parts["decoded"] = pa.array([coder.decode(x) if round_trip else None for x in coded], pa.string())
             yield pa.StructArray.from_arrays(list(parts.values()), list(parts))
 
-    workers(df.sparkSession)
+    workers(df.sparkSession, BATCH)
     both.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     coded = F.arrow_udf(both, "ids array<int>, decoded string")(df[text].cast("string"))
     out = df.withColumn("__coded", coded).withColumn(ids, F.col("__coded.ids"))
