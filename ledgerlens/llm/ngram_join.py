@@ -6,14 +6,17 @@ which links with nothing).  Texts of one set are one class, found by a 128-bit d
 never meet in a pair.
 
 Prefixes.  Shingles are ordered by how often they occur, rarest first, then by hash.  Frequencies
-are counts over all texts in a table of 2**sketch_bits counters, a fixed size that is also all
-that is broadcast; any order gives right results, a rare-first one short blocks.  Two sets of
+are counts over all texts in a table of 2**sketch_bits counters.  A task counts in bytes and
+passes its table on in segments of a fixed size, each segment is summed by one streaming task, and
+a byte a counter, on a logarithmic scale, is all that is broadcast: 4 MB, whatever the input.  Any
+order gives right results, a rare-first one short blocks.  Two sets of
 similarity t or more share one of their first n - ceil(t n) + 1 shingles.
 
 Candidates.  Members of a block (texts that share a prefix shingle) are sorted by size and each is
-tried with the last one before that has the shingle in the prefix which sets of one size need:
-linear in the block.  Where components still share many blocks, this is repeated in other orders
-between members of different components, which connects a group of near copies.
+tried with the last one before that has the shingle in the prefix which sets of one size need, and
+with the block's hub, the member whose prefix holds the shingle first: it has the fewest shingles of
+its own, as the original has among its edited copies.  Both are linear in the block.  Where components
+still share many blocks, this is repeated in other orders between members of different components.
 Blocks whose counter says they are large are first dealt into parts, whose heads are tried with
 one another.  What is connected is then one component, and only pairs of *different* components
 that share a prefix shingle are still listed, all of them, so that no link is missed while the
@@ -42,12 +45,14 @@ from .graph import components
 WIDTH = 5
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
-SKETCH_BITS = 18
+SKETCH_BITS = 22
+#: Counters in a segment, and steps of the logarithmic scale in each doubling.
+SEGMENT, STEPS = 1 << 14, 8
 #: Blocks that the counters put above this are dealt into parts of about this many members.
 BLOCK = 4000
 #: While blocks hold more pairs of different components than this a row, and the last time has taken a quarter of them or more,
 #: members are chained anew in another order, so many times at most; all pairs that are left are listed afterwards.
-PAIRS_A_ROW, ROUNDS = 2, 4
+PAIRS_A_ROW, ROUNDS = 2, 2
 #: Bits a shingle in the bitmaps of the suffix filter, at least; their sizes are powers of two.
 SIGNATURE_BITS = 4
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +102,7 @@ def _batches(frame: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
 
 
-_SETS = "kind int, key bigint, n bigint, d1 bigint, d2 bigint, bits array<bigint>"
+_SETS = "kind int, key bigint, n bigint, d1 bigint, d2 bigint, bits array<bigint>, counts binary"
 
 
 def signature(members: np.ndarray) -> np.ndarray:
@@ -111,13 +116,14 @@ def signature(members: np.ndarray) -> np.ndarray:
 
 
 def _describe(width: int, bits: int):
-    """Pass 1: a row for each text (kind 0) and the counters of this partition (kind 1)."""
+    """Pass 1: a row for each text (kind 0) and the counter segments of this partition (kind 1)."""
+    fields = [("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("counts", pa.binary())]
+    kinds = pa.schema(fields)
 
     def run(frame: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        shingler, counters, seen = Shingler(width), np.zeros(1 << bits, np.int64), set()
-        kinds = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64()))])
+        shingler, counters, seen = Shingler(width), np.zeros(1 << bits, np.uint8), set()
         for ids, texts in _batches(frame):
             n, digests, signs = [], [], []
             for text in texts:
@@ -129,21 +135,48 @@ def _describe(width: int, bits: int):
                 if digest not in seen:
                     if len(seen) < _MEMO:
                         seen.add(digest)
-                    np.add.at(counters, (members & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+                    at = (members & np.uint64((1 << bits) - 1)).astype(np.int64)
+                    now = counters[at]
+                    counters[at] = now + (now < 255)
             if n:
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), flat], schema=kinds)
-        used = np.flatnonzero(counters)
-        for at in range(0, len(used), 1 << 16):
-            part = used[at : at + (1 << 16)]
-            nulls = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), pa.array(part), pa.array(counters[part]), nulls, nulls, pa.nulls(len(part), pa.list_(pa.int64()))], schema=kinds)
+                columns = [pa.array(np.zeros(len(n), np.int32)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), flat, pa.nulls(len(n), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+        for at in range(0, 1 << bits, SEGMENT):
+            part = counters[at : at + SEGMENT]
+            if part.any():
+                row = {"kind": 1, "key": at // SEGMENT, "n": None, "d1": None, "d2": None, "bits": None, "counts": part.tobytes()}
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
 
     return run
 
 
+def _sum_segments(frame: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of counters added up, a byte each on the logarithmic scale; all rows of a segment are in one partition."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in frame:
+        for key, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(counts, np.uint8)
+            sums[key] = sums[key] + part if key in sums else part.astype(np.int64)
+    for key, total in sums.items():
+        scaled = np.minimum(255, np.rint(STEPS * np.log2(1.0 + total))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([scaled.tobytes()], pa.binary())], ["key", "counts"])
+
+
+def _counters(base: DataFrame, bits: int) -> np.ndarray:
+    """The scaled counters of the corpus: 2**bits bytes."""
+    counters = np.zeros(1 << bits, np.uint8)
+    segments = base.where("kind = 1").select("key", "counts")
+    spread = segments.repartition(max(1, (1 << bits) // SEGMENT), "key").mapInArrow(_sum_segments, "key bigint, counts binary")
+    # one row a segment, whatever the input
+    for r in spread.collect():
+        part = np.frombuffer(r.counts, np.uint8)
+        counters[r.key * SEGMENT : r.key * SEGMENT + len(part)] = part
+    return counters
+
+
 def _prefixes(width: int, bits: int, counters, block: int):
     """Pass 2: the prefix shingles of every text, by set; copies within a partition once."""
 
@@ -151,6 +184,7 @@ def _prefixes(width: int, bits: int, counters, block: int):
         import xxhash
 
         shingler, seen, counts = Shingler(width), set(), counters.value
+        members_of_block = np.exp2(np.arange(256) / STEPS) - 1
         schema = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("sid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
         for _, texts in _batches(frame):
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -167,7 +201,7 @@ def _prefixes(width: int, bits: int, counters, block: int):
                 sid = np.frombuffer(digest, np.int64)[0]
                 often = counts[(members & np.uint64((1 << bits) - 1)).astype(np.int64)]
                 first = np.lexsort((members, often))[: n - -(-NUMERATOR * n // DENOMINATOR) + 1]
-                parts = -(-often[first] // block)
+                parts = np.ceil(members_of_block[often[first]] / block).astype(np.int64)
                 columns[0].append(members[first].view(np.int64))
                 columns[1].append(np.where(parts > 1, 1 + (int(sid) & 0x7FFFFFFF) % np.maximum(parts, 1), 0).astype(np.int32))
                 columns[2].append(np.full(len(first), sid, np.int64))
@@ -229,15 +263,21 @@ def _near(n: str, pos: str) -> Column:
     return F.col(pos) <= F.col(n) - _needed(F.col(n), F.col(n))
 
 
-def _last_near(w, *fields: str) -> Column:
-    """The last member before a row, in its block, whose place is near."""
-    return F.last(F.when(_near("n", "pos"), F.struct(*fields)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+def _partners(order: list, *fields: str) -> tuple[Column, Column]:
+    """The last near member before a row in its block, and the near member of least place in its prefix, the hub."""
+    member, block = F.when(_near("n", "pos"), F.struct(*fields)), Window.partitionBy("token", "part")
+    before = block.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(member, ignorenulls=True).over(before), F.first(member, ignorenulls=True).over(block.orderBy("pos", "n", "sid").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _tried(rows: DataFrame, differ: str) -> DataFrame:
+    """Pairs of each row and those in ``near`` and ``hub``, where these differ in a column and may link."""
 
+    def fits(p: Column) -> Column:
+        return (p[differ] != F.col(differ)) & (p["sid"] != F.col("sid")) & _may_link(F.col("n"), F.col("pos"), p["n"], p["pos"])
 
-def _chained(rows: DataFrame, differ: str) -> DataFrame:
-    """Pairs of each row and the one in ``near``, where these differ in a column and may link."""
-    apart = (F.col(f"near.{differ}") != F.col(differ)) & (F.col("near.sid") != F.col("sid"))
-    return rows.where(apart & _may_link(F.col("n"), F.col("pos"), F.col("near.n"), F.col("near.pos"))).select(*_pair("sid", "near.sid"))
+    some = rows.select("sid", F.explode(F.transform(F.filter(F.array("near", "hub"), lambda p: p.isNotNull() & fits(p)), lambda p: p["sid"])).alias("other"))
+    return some.select(*_pair("sid", "other")).distinct()
 
 
 def _left_to_try(mixed: DataFrame) -> tuple[int, int]:
@@ -277,25 +317,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     workers(spark)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     base = materialize(docs.mapInArrow(_describe(width, sketch_bits), _SETS), "shingles")
-    counters = np.zeros(1 << sketch_bits, np.int64)
-    # at most 2**sketch_bits rows, whatever the input
-    for r in base.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
-        counters[r.key] = r.n
-    held = spark.sparkContext.broadcast(counters)
+    held = spark.sparkContext.broadcast(_counters(base, sketch_bits))
     sets = base.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "d1", "d2", "bits")
     groups = materialize(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").cast("int").alias("n"), F.any_value("bits").alias("bits")), "classes")
 
     entries = docs.where("doc_id is not null").mapInArrow(_prefixes(width, sketch_bits, held, block), "token bigint, part int, sid bigint, n int, pos int")
     w = Window.partitionBy("token", "part").orderBy("n", "sid", "pos")
-    before = _last_near(w, "sid", "n", "pos")
+    before, hub = _partners(["n", "sid", "pos"], "sid", "n", "pos")
     shared = entries.repartition("token", "part").select(
-        "token", "part", "sid", "n", "pos", before.alias("near"), F.lag("sid").over(w).alias("p_sid"), F.lead("sid").over(w).alias("next"))
+        "token", "part", "sid", "n", "pos", before.alias("near"), hub.alias("hub"), F.lag("sid").over(w).alias("p_sid"), F.lead("sid").over(w).alias("next"))
     shared = materialize(shared.where("part > 0 or p_sid != sid or next != sid").drop("p_sid", "next"), "shared")
 
     heads = shared.where("part > 0").groupBy("token", "part").agg(F.min(F.struct((~_near("n", "pos")).alias("far"), "n", "sid", "pos")).alias("h"))
     over = Window.partitionBy("token").orderBy("h", "part")
     heads = heads.withColumn("p", F.lag("h").over(over)).where("p.sid != h.sid").select(*_pair("h.sid", "p.sid"))
-    tried, links = _verify(_chained(shared, "sid").unionByName(heads).distinct(), docs, groups, width)
+    tried, links = _verify(_tried(shared, "sid").unionByName(heads).distinct(), docs, groups, width)
     written = [groups, tried, links]
     tried = tried.select("x", "y")
 
@@ -321,8 +357,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         if left <= PAIRS_A_ROW * rows or 4 * left > 3 * last:
             break
         last = left
-        w = Window.partitionBy("token", "part").orderBy("n", F.xxhash64("sid", F.lit(k)), "pos")
-        chained = _chained(mixed.withColumn("near", _last_near(w, "sid", "n", "pos", "root")), "root").distinct()
+        before, hub = _partners(["n", F.xxhash64("sid", F.lit(k)), "pos"], "sid", "n", "pos", "root")
+        chained = _tried(mixed.withColumns({"near": before, "hub": hub}), "root")
         again, more = _verify(chained.join(tried, ["x", "y"], "left_anti"), docs, groups, width)
         written += [again, more]
         tried, links = tried.unionByName(again.select("x", "y")), links.unionByName(more)
