@@ -32,19 +32,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Folders of this process's own, by application, for local masters without a shared folder.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder of this process serves and
-    is removed at exit.
+    Only where that is unset and the master is local, as in tests, a temporary folder of this
+    process serves and is removed at exit; on a cluster the setting is required.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    own = tempfile.mkdtemp(prefix="ledgerlens-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", "file://" + own)
-    return "file://" + own
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _own_dirs:
+        own = tempfile.mkdtemp(prefix="ledgerlens-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dirs[context.applicationId] = "file://" + own
+    return _own_dirs[context.applicationId]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,27 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Texts fall into clauses, words into classes (insult, harm, will, target, negation, report, other).
-Small transducers read the class string of a clause from left to right: *insult* emits the word's
-weight, *threat* emits one where an intention meets harm, *target* raises what follows an address,
-*negation* and *report* lower what follows a denial or an attribution.  Their composition is one
-machine whose state is the tuple of theirs; it is determinised as it is used and remembered, so
-each clause costs one step a word.  Matched clauses, not isolated words, are scored; the document's
-log-odds are the intercept and the clauses' weights, and its score is their logistic.
-
-What is learned: insult words and stems with their weights, how often stems turn up by chance, and the intercept, from a stratified sample of
+Texts fall into clauses, and five transducers read each clause from left to right.  *insult* reads
+words and emits class symbols, with the learned weight of a word or of the stem that it begins
+with; *threat* turns harm within reach of an intention or an address into a menace; *target* raises
+insults and menaces that follow an address, *negation* and *report* lower those that follow a denial
+or an attribution.  The last four are tables of arcs over one small alphabet, and ``compose`` makes
+one machine of them, whose arcs multiply the weights of theirs; each word then costs one look-up.
+
+A clause weighs what its insults and menaces weigh, less a price for its length, since long clauses hold
+stems by chance; a clause that does not exceed its price is silent.  The document's log-odds are the intercept and
+the weights of its clauses, and its score is their logistic: no word counts outside a clause.
+
+What is learned: insult words and stems with their weights, and the intercept, from a stratified sample of
 at most ``SAMPLE`` labelled texts for each label (taken by hash order, a fixed bound), held
 against a small seed list.  A word counts once for each distinct left neighbour, so that copies of
 one text do not make its words look like evidence.  Labels enter only from the training rows given.
 
 Defined results: null and empty texts have no clauses and get the intercept's score; repeated rows
-are scored alike; unlabelled corpora are scored with the seed list; very long texts are read whole.
+are scored alike; an empty table gives an empty one; other columns stay, and one named as ``into`` is
+replaced; unlabelled corpora are scored with the seed list; very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,84 +43,162 @@ MIN_OPENINGS = 6
 #: Learned stems: lengths of the beginnings of words that are tried, ratio and contexts needed, and the most one is worth.
 STEM_LENGTHS, STEM_RATIO, STEM_CONTEXTS, STEM_WEIGHT = (5, 6, 7), 6.0, 30, 3.0
 SEED_WEIGHT = 4.0
-SEEDS = "idiot moron stupid loser pathetic worthless trash scum disgusting clown dumb imbecile filth vermin bastard bitch asshole retard".split()
-HARM = "kill hurt beat destroy stab shoot murder punch strangle".split()
-WILL = "will gonna going shall ll must want".split()
-TARGET = "you your yours he she they him her them his their u".split()
-NEGATION = "not no never isn aren wasn don doesn didn without neither nor".split()
-REPORT = "said says say wrote writes quoted quotes claimed reported reportedly allegedly called".split()
-#: How long target, negation, intention and report reach, in words (a report: to the clause's end).
+#: Word classes in English, German, French and Spanish.
+SEEDS = (
+    "idiot moron stupid loser pathetic worthless trash scum disgusting clown dumb imbecile filth vermin bastard bitch asshole retard "
+    "arschloch abschaum trottel dummkopf hurensohn connard ordure crétin imbécile salaud idiota imbécil estúpido basura cabrón"
+).split()
+HARM = (
+    "kill hurt beat destroy stab shoot murder punch strangle umbringen töten schlagen verletzen verprügeln erschießen erstechen "
+    "tuer frapper blesser poignarder étrangler matar golpear herir apuñalar estrangular"
+).split()
+WILL = "will gonna going shall ll must want werde werden wirst wird vais vas va veux allons voy quiero vamos".split()
+TARGET = "you your yours he she they him her them his their u du dich dir dein deine ihr euch tu toi ton ta vous tú ti usted ustedes".split()
+NEGATION = "not no never isn aren wasn don doesn didn without neither nor nicht kein keine nie niemals pas jamais aucun nunca jamás ni".split()
+REPORT = (
+    "said says say wrote writes quoted quotes claimed reported reportedly allegedly called sagte sagt schrieb behauptete angeblich nannte "
+    "dit disait écrivit prétend dijo dice escribió supuestamente"
+).split()
+#: How long target, negation and intention reach, in words (a report: to the clause's end).
 REACH = 4
 THREAT_WEIGHT, TARGET_FACTOR, NEGATION_FACTOR, REPORT_FACTOR = 4.0, 1.25, 0.4, 0.7
 MAX_CLAUSE = 8.0
+#: The price of a clause: for each word, and at most.
+PRICE, MAX_PRICE = 0.1, 1.5
+#: Class symbols: insult, menace, harm, intention, target, negation, report, other.
+ALPHABET = "imhwtnro"
+_MEMO = 100_000
 _CLAUSE = re.compile(rb"[.!?;\n]+")
 _words = re.compile(WORD_BYTES)
 
 
+class Transducer:
+    """A deterministic transducer: arcs (state, symbol) -> (state, symbol, weight)."""
+
+    def __init__(self, start, arcs: dict[tuple, tuple]):
+        self.start, self.arcs = start, arcs
+
+    @classmethod
+    def reach(cls, start, step: Callable) -> Transducer:
+        """All arcs that can be entered from the start, by a function of state and symbol."""
+        arcs, open_ = {}, [start]
+        while open_:
+            state = open_.pop()
+            for symbol in ALPHABET:
+                if (state, symbol) not in arcs:
+                    arcs[state, symbol] = step(state, symbol)
+                    open_.append(arcs[state, symbol][0])
+        return cls(start, arcs)
+
+    def read(self, symbols: str) -> list[tuple[str, float]]:
+        """What it emits for a string of symbols."""
+        state, out = self.start, []
+        for symbol in symbols:
+            state, emitted, weight = self.arcs[state, symbol]
+            out.append((emitted, weight))
+        return out
+
+
+def compose(left: Transducer, right: Transducer) -> Transducer:
+    """The transducer that passes what the left one emits to the right one and multiplies their weights."""
+
+    def step(state: tuple, symbol: str) -> tuple:
+        p, between, v = left.arcs[state[0], symbol]
+        q, emitted, w = right.arcs[state[1], between]
+        return (p, q), emitted, v * w
+
+    return Transducer.reach((left.start, right.start), step)
+
+
+def threat() -> Transducer:
+    """Harm within reach of an intention or an address becomes a menace, other harm is an other word."""
+
+    def step(near: int, symbol: str) -> tuple:
+        emitted = ("m" if near else "o") if symbol == "h" else symbol
+        return REACH if symbol in "wt" else max(0, near - 1), emitted, 1.0
+
+    return Transducer.reach(0, step)
+
+
+def follows(opening: str, factor: float) -> Transducer:
+    """Insults and menaces within reach after a symbol weigh ``factor``."""
+
+    def step(near: int, symbol: str) -> tuple:
+        return REACH if symbol == opening else max(0, near - 1), symbol, factor if near and symbol in "im" else 1.0
+
+    return Transducer.reach(0, step)
+
+
+def report(factor: float) -> Transducer:
+    """Insults and menaces after an attribution weigh ``factor``, up to the end of the clause."""
+    return Transducer.reach(False, lambda told, symbol: (told or symbol == "r", symbol, factor if told and symbol in "im" else 1.0))
+
+
+def cascade() -> list[Transducer]:
+    """The transducers behind *insult*, in order."""
+    return [threat(), follows("t", TARGET_FACTOR), follows("n", NEGATION_FACTOR), report(REPORT_FACTOR)]
+
+
+class Insult:
+    """The first transducer: a word's class symbol and weight, by the word itself or the heaviest stem that it begins with."""
+
+    def __init__(self, weights: dict[str, float], stems: dict[str, float]):
+        self.known: dict[bytes, tuple[str, float]] = {w.encode(): (c, 1.0) for w, c in classes().items()}
+        self.known |= {w.encode(): ("i", x) for w, x in weights.items()}
+        self.stems = {w.encode(): x for w, x in stems.items()}
+        self.sizes = sorted({len(x) for x in self.stems})
+        self.memo: dict[bytes, tuple[str, float]] = {}
+
+    def read(self, word: bytes) -> tuple[str, float]:
+        found = self.known.get(word) or self.memo.get(word)
+        if found is None:
+            weight = max((self.stems.get(word[:n], 0.0) for n in self.sizes), default=0.0)
+            if len(self.memo) >= _MEMO:
+                self.memo.clear()
+            found = self.memo[word] = ("i", weight) if weight else ("o", 1.0)
+        return found
+
+
+def classes() -> dict[str, str]:
+    """The words of the fixed classes."""
+    return {w: c for c, words in (("t", TARGET), ("w", WILL), ("h", HARM), ("n", NEGATION), ("r", REPORT)) for w in words}
+
+
 class Grammar:
     """The composed transducers over one lexicon."""
 
-    def __init__(self, weights: dict[str, float], intercept: float, stems: dict[str, float] | None = None, chance: float = 0.0):
-        self.intercept, self.chance = intercept, chance
-        self.insults = {w.encode(): x for w, x in weights.items()}
-        self.stems = {w.encode(): x for w, x in (stems or {}).items()}
-        self.stem_sizes = sorted({len(x) for x in self.stems}, reverse=True)
-        self.classes = {w.encode(): c for c, words in (("t", TARGET), ("w", WILL), ("h", HARM), ("n", NEGATION), ("r", REPORT)) for w in words}
-        self.classes |= dict.fromkeys(self.insults, "i")
-        emitting = sorted([*self.insults, *(w.encode() for w in HARM)], key=lambda w: (-len(w), w))
-        self.any = re.compile(b"(?<![0-9a-z\x80-\xff])(?:(?:" + b"|".join(map(re.escape, emitting)) + b")(?![0-9a-z\x80-\xff])" + b"".join(b"|" + re.escape(x) for x in sorted(self.stems)) + b")")
-        self.arcs: dict[tuple, tuple] = {}
-
-    def step(self, state: tuple[int, int, int, bool], kind: str) -> tuple[tuple[int, int, int, bool], float, float]:
-        """One arc of the composition: next state, factor for an insult's weight, weight of a threat.
-
-        The state holds how many words target, negation and intention still reach, and whether a
-        report has begun.
-        """
-        known = self.arcs.get((state, kind))
-        if known is None:
-            target, negation, will, report = state
-            factor = (TARGET_FACTOR if target else 1.0) * (NEGATION_FACTOR if negation else 1.0) * (REPORT_FACTOR if report else 1.0)
-            threat = THREAT_WEIGHT * factor if kind == "h" and (will or target) else 0.0
-            after = (
-                REACH if kind == "t" else max(0, target - 1),
-                REACH if kind == "n" else max(0, negation - 1),
-                REACH if kind == "w" else max(0, will - 1),
-                report or kind == "r",
-            )
-            known = self.arcs[state, kind] = (after, factor if kind == "i" else 0.0, threat)
-        return known
-
-    def stem_weight(self, word: bytes) -> float:
-        return max((self.stems.get(word[:n], 0.0) for n in self.stem_sizes), default=0.0)
-
-    def clause(self, clause: bytes) -> tuple[float, float]:
-        """Weight of a clause's words and of its stems."""
-        state, total, stem = (0, 0, 0, False), 0.0, 0.0
-        for word in _words.findall(clause):
-            kind = self.classes.get(word, "o")
-            weak = self.stem_weight(word) if kind == "o" and self.stems else 0.0
-            state, factor, threat = self.step(state, "i" if weak else kind)
-            total += threat
-            if weak:
-                stem += factor * weak
-            elif factor:
-                total += factor * self.insults[word]
-        return min(MAX_CLAUSE, total), min(MAX_CLAUSE, stem)
+    def __init__(self, weights: dict[str, float], intercept: float, stems: dict[str, float] | None = None, transducers: list[Transducer] | None = None):
+        self.intercept = intercept
+        self.insult = Insult(weights, stems or {})
+        machine = reduce(compose, transducers or cascade())
+        number: dict = {machine.start: 0}
+        for state, _ in machine.arcs:
+            number.setdefault(state, len(number))
+        #: For each state: symbol -> (state, weight of an insult, weight of a menace).
+        self.arcs: list[dict[str, tuple[int, float, float]]] = [{} for _ in number]
+        for (state, symbol), (after, emitted, weight) in machine.arcs.items():
+            self.arcs[number[state]][symbol] = number[after], weight if emitted == "i" else 0.0, THREAT_WEIGHT * weight if emitted == "m" else 0.0
+        emitting = sorted([*(w.encode() for w in (*weights, *HARM))], key=lambda w: (-len(w), w))
+        self.any = re.compile(b"(?<![0-9a-z\x80-\xff])(?:(?:" + b"|".join(map(re.escape, emitting)) + b")(?![0-9a-z\x80-\xff])" + b"".join(b"|" + re.escape(x) for x in sorted(self.insult.stems)) + b")")
+
+    def clause(self, clause: bytes) -> float:
+        """What a clause weighs: 0 where its matches do not exceed its price."""
+        state, total, words, read, arcs = 0, 0.0, _words.findall(clause), self.insult.read, self.arcs
+        for word in words:
+            symbol, weight = read(word)
+            state, insult, menace = arcs[state][symbol]
+            total += insult * weight + menace
+        return min(MAX_CLAUSE, max(0.0, total - min(MAX_PRICE, PRICE * len(words))))
 
     def score(self, text: bytes | None) -> tuple[float, int]:
         """Score and number of matched clauses."""
         low = (text or b"").lower()
-        odds, matched, weak = self.intercept, 0, 0.0
+        odds, matched = self.intercept, 0
         if self.any.search(low):
             for c in _CLAUSE.split(low):
-                if self.any.search(c):
-                    weight, stem = self.clause(c)
+                if self.any.search(c) and (weight := self.clause(c)):
                     odds += weight
-                    weak += stem
-                    matched += weight + stem > 0
-            if weak:  # what long texts hold by chance does not count
-                odds += max(0.0, weak - self.chance * len(_words.findall(low)))
+                    matched += 1
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))), matched
 
 
@@ -146,10 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         weights[r.word] = round(min(6.0, max(2.0, math.log(r.ratio))), 4)
     found = [r for r in per.where(stem).orderBy(F.desc("a"), "word").limit(LEXICON).collect() if not any(w.startswith(r.word[:-1]) for w in SEEDS)]
     stems = {r.word[:-1]: round(min(STEM_WEIGHT, math.log(r.ratio)), 4) for r in found}
-    n_clean = rows.where("y = 0").agg(F.sum(F.size(words))).head()[0] or 1
-    longest = [r for r in found if not any(r.word[:-1] != x and r.word.startswith(x) for x in stems)]
-    chance = round(sum(r.b * stems[r.word[:-1]] for r in longest) / n_clean, 8)
-    grammar = Grammar(weights, 0.0, stems, chance)
+    grammar = Grammar(weights, 0.0, stems)
     scored = rows.select("y", matches(F.col("t"), grammar).alias("m")).groupBy("y").agg(F.sum((F.col("m") == 0).cast("int")).alias("n")).collect()
     silent = {r.y: r.n * counts[r.y] / sizes[r.y] for r in scored}
     share = (silent.get(1, 0) + 1) / (silent.get(0, 0) + silent.get(1, 0) + 2)

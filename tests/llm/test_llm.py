@@ -188,6 +188,47 @@ def test_toxicity_grammar():
     assert denied < told < plain < addressed and threat > clean and g.score(None)[0] == g.score(b"")[0] == clean
 
 
+def test_composition_by_brute_force():
+    r = random.Random(8)
+    for _ in range(6):
+        parts = toxicity.cascade()
+        r.shuffle(parts)
+        parts = parts[: r.randrange(2, 5)]
+        machine = parts[0]
+        for p in parts[1:]:
+            machine = toxicity.compose(machine, p)
+        for _ in range(200):
+            symbols = "".join(r.choice(toxicity.ALPHABET) for _ in range(r.randrange(25)))
+            want, weights = symbols, [1.0] * len(symbols)
+            for p in parts:  # one transducer after the other, over the whole string
+                read = p.read(want)
+                want, weights = "".join(c for c, _ in read), [x * w for x, (_, w) in zip(weights, read, strict=True)]
+            got = machine.read(symbols)
+            assert "".join(c for c, _ in got) == want and [w for _, w in got] == pytest.approx(weights)
+
+
+def test_grammar_by_interpreter():
+    """The scored weight of a clause against rules that look back over its words."""
+    g = toxicity.Grammar({"idiot": 4.0, "scum": 2.5}, -3.0, {"tromp": 1.5})
+    r, words = random.Random(9), "idiot scum trompeur kill will you nicht pas said dijo and the of".split()
+    kinds = toxicity.classes() | {"idiot": "i", "scum": "i", "trompeur": "i"}
+    weight = {"idiot": 4.0, "scum": 2.5, "trompeur": 1.5}
+    for _ in range(2000):
+        said = [r.choice(words) for _ in range(r.randrange(30))]
+        total = 0.0
+        for k, w in enumerate(said):
+            back = [kinds.get(x, "o") for x in said[max(0, k - toxicity.REACH) : k]]
+            x = weight.get(w, 0.0) if kinds.get(w) == "i" else toxicity.THREAT_WEIGHT if kinds.get(w) == "h" and {"w", "t"} & {*back} else 0.0
+            x *= toxicity.TARGET_FACTOR if "t" in back else 1.0
+            x *= toxicity.NEGATION_FACTOR if "n" in back else 1.0
+            x *= toxicity.REPORT_FACTOR if "r" in [kinds.get(y, "o") for y in said[:k]] else 1.0
+            total += x
+        want = min(toxicity.MAX_CLAUSE, max(0.0, total - min(toxicity.MAX_PRICE, toxicity.PRICE * len(said))))
+        assert g.clause(" ".join(said).encode()) == pytest.approx(want)
+    for told, plain in (("du bist kein idiot", "du bist ein idiot"), ("il dit que tu es idiot", "et que tu es idiot"), ("dijo que es idiot", "creo que es idiot")):
+        assert g.clause(told.encode()) < g.clause(plain.encode())
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
