@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +109,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def workers(spark: SparkSession, batch: str = "16m") -> None:
+def tidied(run):
+    """The function of a partition; what it leaves in a reused Python worker goes back to the system when it ends."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not a GNU C library
+            pass
+
+    return whole
+
+
+def workers(spark: SparkSession, batch: str = "4m") -> None:
     """Make this package importable in Python workers and bound what one Arrow batch holds by bytes, not only by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
     context = spark.sparkContext

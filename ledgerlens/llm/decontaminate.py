@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, workers, materialize
+from .common import WORD_BYTES, materialize, tidied, workers
 
 FOUND = "n_words bigint, runs array<struct<first: bigint, last: bigint, start: bigint, stop: bigint>>, items array<string>"
 _RUN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -118,6 +118,7 @@ def _scan_block(df: DataFrame, text: str, items, width: int, before: str | None)
                 found = [merge_found(a, b) for a, b in zip(earlier[0].to_pylist(), found, strict=True)]
             yield pa.array(found, _FOUND)
 
+    scan = tidied(scan)
     scan.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     # the text twice: an iterator over tuples needs two columns
     return F.arrow_udf(scan, FOUND)(df[text].cast("string"), df[before or text])

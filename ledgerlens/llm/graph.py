@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, tidied
 
 #: Links that one task contracts at most.
 BLOCK = 500_000
@@ -45,7 +45,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = materialize(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a != b").distinct(), "links")
     blocks = -(-links.count() // BLOCK)
-    edges = materialize(links.repartition(max(1, blocks)).mapInArrow(_contract, "a bigint, b bigint").distinct(), "links")
+    edges = materialize(links.repartition(max(1, blocks)).mapInArrow(tidied(_contract), "a bigint, b bigint").distinct(), "links")
     discard(links)
     state = None
     while blocks > 1:

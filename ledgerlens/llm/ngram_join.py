@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import discard, materialize, may_be_in, workers
+from .common import discard, materialize, may_be_in, tidied, workers
 from .graph import components
 
 WIDTH = 5
@@ -169,7 +169,7 @@ def _counters(base: DataFrame, bits: int) -> np.ndarray:
     """The scaled counters of the corpus: 2**bits bytes."""
     counters = np.zeros(1 << bits, np.uint8)
     segments = base.where("kind = 1").select("key", "counts")
-    spread = segments.repartition(max(1, (1 << bits) // SEGMENT), "key").mapInArrow(_sum_segments, "key bigint, counts binary")
+    spread = segments.repartition(max(1, (1 << bits) // SEGMENT // 8), "key").mapInArrow(tidied(_sum_segments), "key bigint, counts binary")
     # one row a segment, whatever the input
     for r in spread.collect():
         part = np.frombuffer(r.counts, np.uint8)
@@ -232,6 +232,7 @@ def _overlap(width: int):
                 both.append(len(np.intersect1d(p, q, assume_unique=True)))
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (na, nb, both)], ["na", "nb", "both"])
 
+    run = tidied(run)
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "na bigint, nb bigint, both bigint")
 
@@ -316,17 +317,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     spark = df.sparkSession
     workers(spark)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
-    base = materialize(docs.mapInArrow(_describe(width, sketch_bits), _SETS), "shingles")
+    base = materialize(docs.mapInArrow(tidied(_describe(width, sketch_bits)), _SETS), "shingles")
     held = spark.sparkContext.broadcast(_counters(base, sketch_bits))
     sets = base.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "d1", "d2", "bits")
     groups = materialize(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").cast("int").alias("n"), F.any_value("bits").alias("bits")), "classes")
 
-    entries = docs.where("doc_id is not null").mapInArrow(_prefixes(width, sketch_bits, held, block), "token bigint, part int, sid bigint, n int, pos int")
+    entries = docs.where("doc_id is not null").mapInArrow(tidied(_prefixes(width, sketch_bits, held, block)), "token bigint, part int, sid bigint, n int, pos int")
     w = Window.partitionBy("token", "part").orderBy("n", "sid", "pos")
     before, hub = _partners(["n", "sid", "pos"], "sid", "n", "pos")
     shared = entries.repartition("token", "part").select(
         "token", "part", "sid", "n", "pos", before.alias("near"), hub.alias("hub"), F.lag("sid").over(w).alias("p_sid"), F.lead("sid").over(w).alias("next"))
     shared = materialize(shared.where("part > 0 or p_sid != sid or next != sid").drop("p_sid", "next"), "shared")
+    held.unpersist()
 
     heads = shared.where("part > 0").groupBy("token", "part").agg(F.min(F.struct((~_near("n", "pos")).alias("far"), "n", "sid", "pos")).alias("h"))
     over = Window.partitionBy("token").orderBy("h", "part")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers
+from .common import tidied, workers
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -202,6 +202,7 @@ def encode_decode(df: DataFrame, model_file: str, text: str = "text", ids: str =
             yield pa.StructArray.from_arrays(list(parts.values()), list(parts))
 
     workers(df.sparkSession, BATCH)
+    both = tidied(both)
     both.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     coded = F.arrow_udf(both, "ids array<int>, decoded string")(df[text].cast("string"))
     out = df.withColumn("__coded", coded).withColumn(ids, F.col("__coded.ids"))

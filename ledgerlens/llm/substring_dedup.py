@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, workers
+from .common import materialize, tidied, workers
 
 #: Words that repeated windows must cover; a passage loses at most w - 1 (8) words at either end.
 MIN_WORDS = 24
@@ -134,13 +134,13 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     document with a window of the part; duplicate: such places have all of it, so that removing
     the spans marked leaves one copy.
     """
-    workers(df.sparkSession, "4m")
+    workers(df.sparkSession)
     k, _ = sizes(min_words)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
-    rows = docs.mapInArrow(_chunk_rows(min_words), CHUNKS)
+    rows = docs.mapInArrow(tidied(_chunk_rows(min_words)), CHUNKS)
     counted = rows.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("places"))
     shared = materialize(counted.where("places > 1").select("digest", "first"), "repeated-windows")
-    hits = docs.mapInArrow(_chunk_rows(min_words), CHUNKS).join(shared, "digest").select("doc_id", "at", "start", "stop", "first", (F.col("again") | (F.col("first") != F.col("doc_id"))).alias("again"))
+    hits = docs.mapInArrow(tidied(_chunk_rows(min_words)), CHUNKS).join(shared, "digest").select("doc_id", "at", "start", "stop", "first", (F.col("again") | (F.col("first") != F.col("doc_id"))).alias("again"))
     w = Window.partitionBy("doc_id").orderBy("at", "start", "stop")
     so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     marked = hits.select(

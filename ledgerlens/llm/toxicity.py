@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_BYTES, ascii_lower, materialize, text_of, workers
+from .common import WORD, WORD_BYTES, ascii_lower, materialize, text_of, tidied, workers
 
 #: Labelled texts of each label that fitting may read.
 SAMPLE = 3000
@@ -247,6 +247,7 @@ def _scored(text: Column, grammar: Grammar) -> Column:
             found = [grammar.score(t) for t in batch.cast(pa.binary()).to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["score", "clauses"])
 
+    run = tidied(run)
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "score double, clauses bigint")(text)
 
