@@ -271,7 +271,9 @@ def test_short_passages_are_not_missed(spark):
     assert {s.doc_id for s in spans} == set(range(600))
     for s in spans:
         found = texts[s.doc_id][s.start : s.stop].strip()
-        assert found in passages[s.doc_id % 300] and len(found.split()) == s.n_words and s.n_words >= 51 + s.doc_id % 10 - 16
+        # a word beside the passage may be the same in both copies by chance
+        assert found in texts[(s.doc_id + 300) % 600] and len(found.split()) == s.n_words and s.n_words >= 51 + s.doc_id % 10 - 16
+        assert found in passages[s.doc_id % 300] or passages[s.doc_id % 300][40:-40] in found
         got[s.doc_id] = (s.first_doc_id, s.duplicate)
     assert got == {i: (i % 300, i >= 300) for i in range(600)}
 
@@ -283,7 +285,8 @@ def test_repeats_inside_a_document(spark):
     spans = substring_dedup.repeated_spans(table)
     left = {r.doc_id: r.text for r in substring_dedup.cut_spans(table, spans).collect()}
     assert left[0].count(block) == 1 and len(left[0]) < len(texts[0]) - 7 * len(block) and left[0].endswith(prose(502, 40))
-    assert left[1].split() == ["der"] * substring_dedup.WINDOW_WORDS and left[2] == texts[2]
+    kept = left[1].split()
+    assert {*kept} == {"der"} and len(kept) <= 2 * (substring_dedup.KEY_CHUNKS + substring_dedup.WINNOW) and left[2] == texts[2]
     same = spark.createDataFrame([(7, block), (7, f"{prose(504, 30)} {block}")], "doc_id bigint, text string")
     got = substring_dedup.repeated_spans(same).collect()
     assert got and not any(r.duplicate for r in got)
