@@ -1,11 +1,13 @@
 """Chat formatting of reply trees.
 
 A tree's messages name their parents.  Iterated self-joins double the distance to a known
-ancestor, so a tree of depth d takes about log2(d) joins however many rows it has; the same
-tables, taken from the longest jump to the shortest, then list every ancestor of the chosen
-leaves exactly once.  Only keys and scores move in these joins; texts are joined at the end.
-Branches are ranked in their tree by the sum of their messages' scores (ties: the longer, then
-the smaller leaf), and each chosen path becomes one formatted conversation.
+ancestor, so a tree of depth d takes about log2(d) joins however many rows it has.  On the way
+each message gathers its nearest ``NEAR`` ancestors in an array; the same tables, taken from the
+longest jump to the shortest of NEAR, then list every NEAR-th ancestor of the chosen leaves, and
+the arrays list those between, each exactly once.  Only keys and scores move in these joins; the
+messages are written once, and texts are joined at the end.  Branches are ranked in their tree by
+the sum of their messages' scores (ties: the longer, then the smaller leaf), and each chosen path
+becomes one formatted conversation.
 
 Template: ``<|im_start|>role`` newline ``text<|im_end|>`` newline for every turn.  In texts a
 backslash is put between ``<`` and ``|`` (after it, where backslashes stand there already), so no
@@ -13,7 +15,8 @@ text can hold a control string and the original is read back exactly; roles are
 
 Defined results: null texts and roles are empty; a message whose parent is missing or null is a
 root; paths that lead into a cycle have no root and are left out; rows with one key are separate
-messages, in the order of role and text; other columns are not carried.
+messages, in the order of role and text; repeated rows of ``chain`` are repeated turns; an empty table
+gives an empty one; a conversation is one row, however long its texts are; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 LOSS_ROLES = ("assistant",)
+#: Ancestors that a message lists itself, a power of two.
+NEAR = 16
 
 
 def escape(text: Column) -> Column:
@@ -54,39 +59,42 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     nodes: tree, node (unique in its tree), parent, score.
     """
     ids = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = ids.select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"))
-    step = _up(ids, known, "parent", "left").select("tree", "node", F.col("r_node").alias("ancestor"), F.lit(1).cast("long").alias("jump"), "score")
-    # score: of the node and what is passed on the jump, without the ancestor reached
-    step = materialize(step, "chat-jump")
-    jumps, total = [], None
-    while True:
-        jumps.append(step)
-        open_, counted = step.agg(F.count("ancestor"), F.count("*")).head()
-        total = counted if total is None else total
-        if not open_ or 2 ** (len(jumps) - 1) > total:
-            break
-        other = step.select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"), F.col("ancestor").alias("r_ancestor"), F.col("jump").alias("r_jump"), F.col("score").alias("r_score"))
+    nowhere = F.array().cast(f"array<{ids.schema['node'].dataType.simpleString()}>")
+    # ancestor: at the end of the jump, found missing by the next one; above: the ancestors before it, the nearest first;
+    # jump, score: messages and their scores from the node up to where it ends, or to the root, where that is reached
+    jumps, total = [ids.select("tree", "node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("jump"), "score", nowhere.alias("above"))], ids.count()
+    while 2 ** len(jumps) <= 2 * total and jumps[-1].where("ancestor is not null").head(1):
+        step, gathers = jumps[-1], 2 ** len(jumps) <= NEAR
+        other = step.select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"), *[F.col(c).alias(f"r_{c}") for c in ("ancestor", "jump", "score", *(["above"] if gathers else []))])
+        met = F.col("r_node").isNotNull()
+        above = F.when(met, F.concat("above", F.array("r_node"), "r_above")).otherwise(F.col("above")) if gathers else F.col("above")
         step = _up(step, other, "ancestor", "left").select(
-            "tree", "node", F.col("r_ancestor").alias("ancestor"),
-            # jump counts the messages from the node up to and with its root, once that is reached
-            F.when(F.col("ancestor").isNull(), F.col("jump")).otherwise(F.col("jump") + F.col("r_jump")).alias("jump"),
-            (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score"))
-        step = materialize(step, "chat-jump")
+            "tree", "node", F.col("r_ancestor").alias("ancestor"), (F.col("jump") + F.coalesce("r_jump", F.lit(0))).alias("jump"),
+            (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score"), above.alias("above"))
+        jumps.append(materialize(step, "chat-jump"))
+    last = jumps[-1]
     inner = ids.where("parent is not null").select(F.col("tree").alias("r_tree"), F.col("parent").alias("r_node")).distinct()
-    leaves = _up(step.where("ancestor is null"), inner, "node", "left_anti")
+    leaves = _up(last.where("ancestor is null"), inner, "node", "left_anti")
     w = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("jump"), "node")
-    path = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("jump") - 1).alias("depth"))
-    for k in range(len(jumps) - 2, -1, -1):
-        up = jumps[k].where("ancestor is not null").select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"), "ancestor")
-        above = _up(path, up, "node", "inner").select("tree", "leaf", "rank", F.col("ancestor").alias("node"), (F.col("depth") - 2**k).alias("depth"))
-        path = path.unionByName(above)
-        if k % 4 == 3:  # the plan doubles with each union
-            path = materialize(path, "chat-path")
-    return path
+    path = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("jump") - 1).alias("depth"), "above")
+    far, written = [k for k in range(len(jumps) - 2, 0, -1) if 2**k >= NEAR], jumps[1:]
+    if far:
+        path = path.drop("above")
+        for k in far:
+            up = jumps[k].where("ancestor is not null").select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"), "ancestor")
+            higher = _up(path, up, "node", "inner").select("tree", "leaf", "rank", F.col("ancestor").alias("node"), (F.col("depth") - 2**k).alias("depth"))
+            path = materialize(path.unionByName(higher), "chat-path")
+            written.append(path)
+        path = _up(path, last.select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"), "above"), "node", "inner")
+    listed = path.select("tree", "leaf", "rank", "depth", F.posexplode(F.concat(F.array("node"), "above")).alias("back", "node"))
+    listed = materialize(listed.select("tree", "leaf", "rank", "node", (F.col("depth") - F.col("back")).alias("depth")), "chat-path")
+    discard(*written)
+    return listed
 
 
 def format_trees(nodes: DataFrame, branches: int = 1, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
     """One row a chosen path: tree, leaf, rank, formatted, mask (array of start, stop code points under the loss)."""
+    nodes = materialize(nodes, "chat-nodes")
     path = choose_paths(nodes, branches)
     bodies = nodes.select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = _up(path, bodies, "node", "inner").select("tree", "leaf", "rank", "depth", "role", "text")

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tidied, workers
 
-#: Words that repeated keys must cover.
-MIN_WORDS = 24
+#: Words that repeated keys must cover: a passage of 51 words loses 18 of them at most, 8 bytes of words of a letter included.
+MIN_WORDS = 33
 #: Words of which one is a cut, at least, and chunks in a key.
 WINNOW, KEY_CHUNKS = 7, 4
 #: Bytes that the gear's state remembers.

@@ -137,6 +137,33 @@ def test_deep_chain(spark):
     assert [x["text"] for x in made.turns] == [str(i) for i in range(70)]
 
 
+def test_trees_by_brute_force(spark):
+    r, rows = random.Random(12), []
+    for tree in range(12):
+        n = r.choice([1, 5, 40, 90])
+        parents = {i: r.choice([None, 1000]) if not i else max(0, i - r.randrange(1, 4)) for i in range(n)}
+        if tree == 3:
+            parents[0] = n - 1  # a cycle, and all that hangs on it
+        rows += [(tree, i, p, "user", f"t{i}", float(r.randrange(5))) for i, p in parents.items()]
+    table = spark.createDataFrame(rows, "tree bigint, node bigint, parent bigint, role string, text string, score double")
+    want = {}
+    for tree in range(12):
+        of = {x[1]: x for x in rows if x[0] == tree}
+        paths = []
+        for leaf in set(of) - {x[2] for x in of.values()}:
+            path, at = [], leaf
+            while at in of and at not in path:
+                path.append(at)
+                at = of[at][2]
+            if at not in of:
+                paths.append((-sum(of[i][5] for i in path), -len(path), leaf, path[::-1]))
+        for k, (*_, leaf, path) in enumerate(sorted(paths)[:3]):
+            want[tree, k + 1] = (leaf, [f"t{i}" for i in path])
+    made = chat_format.format_trees(table, branches=3).withColumn("turns", chat_format.read_turns(F.col("formatted")))
+    assert {(x.tree, x["rank"]): (x.leaf, [t["text"] for t in x.turns]) for x in made.collect()} == want
+    assert chat_format.format_trees(table.where("tree < 0")).count() == 0
+
+
 def test_licences(spark):
     texts = ["Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "CC  by; all Rights-reserved. xcc by", "GNU General Public License, version 3: This work is licensed", None, "", prose(4, 80), "This work is licensed under the GNU General Public License, version 3."]
     got = license_scan.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()
