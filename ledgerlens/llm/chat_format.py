@@ -21,6 +21,8 @@ gives an empty one; a conversation is one row, however long its texts are; other
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,16 +65,18 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     # ancestor: at the end of the jump, found missing by the next one; above: the ancestors before it, the nearest first;
     # jump, score: messages and their scores from the node up to where it ends, or to the root, where that is reached
     jumps, total = [ids.select("tree", "node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("jump"), "score", nowhere.alias("above"))], ids.count()
+    ended = []  # messages whose root is reached are not joined again
     while 2 ** len(jumps) <= 2 * total and jumps[-1].where("ancestor is not null").head(1):
-        step, gathers = jumps[-1], 2 ** len(jumps) <= NEAR
-        other = step.select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"), *[F.col(c).alias(f"r_{c}") for c in ("ancestor", "jump", "score", *(["above"] if gathers else []))])
+        step, gathers = jumps[-1].where("ancestor is not null"), 2 ** len(jumps) <= NEAR
+        ended.append(jumps[-1].where("ancestor is null"))
+        other = reduce(DataFrame.unionByName, ended, step).select(F.col("tree").alias("r_tree"), F.col("node").alias("r_node"), *[F.col(c).alias(f"r_{c}") for c in ("ancestor", "jump", "score", *(["above"] if gathers else []))])
         met = F.col("r_node").isNotNull()
         above = F.when(met, F.concat("above", F.array("r_node"), "r_above")).otherwise(F.col("above")) if gathers else F.col("above")
         step = _up(step, other, "ancestor", "left").select(
             "tree", "node", F.col("r_ancestor").alias("ancestor"), (F.col("jump") + F.coalesce("r_jump", F.lit(0))).alias("jump"),
             (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score"), above.alias("above"))
         jumps.append(materialize(step, "chat-jump"))
-    last = jumps[-1]
+    last = reduce(DataFrame.unionByName, ended, jumps[-1])
     inner = ids.where("parent is not null").select(F.col("tree").alias("r_tree"), F.col("parent").alias("r_node")).distinct()
     leaves = _up(last.where("ancestor is null"), inner, "node", "left_anti")
     w = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("jump"), "node")
