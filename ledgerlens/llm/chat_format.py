@@ -76,12 +76,13 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
             "tree", "node", F.col("r_ancestor").alias("ancestor"), (F.col("jump") + F.coalesce("r_jump", F.lit(0))).alias("jump"),
             (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score"), above.alias("above"))
         jumps.append(materialize(step, "chat-jump"))
-    last = reduce(DataFrame.unionByName, ended, jumps[-1])
+    # one table: an anti join of a union becomes one join for each of its parts
+    last = materialize(reduce(DataFrame.unionByName, ended, jumps[-1]), "chat-ends")
     inner = ids.where("parent is not null").select(F.col("tree").alias("r_tree"), F.col("parent").alias("r_node")).distinct()
     leaves = _up(last.where("ancestor is null"), inner, "node", "left_anti")
     w = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("jump"), "node")
     path = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("jump") - 1).alias("depth"), "above")
-    far, written = [k for k in range(len(jumps) - 2, 0, -1) if 2**k >= NEAR], jumps[1:]
+    far, written = [k for k in range(len(jumps) - 2, 0, -1) if 2**k >= NEAR], [*jumps[1:], last]
     if far:
         path = path.drop("above")
         for k in far:
