@@ -32,7 +32,7 @@ from .common import tidied, workers
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered segments and neighbour checks in one worker; the tables start anew when full.
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES, PAIR_ENTRIES = 150_000, 250_000
 MEMO_LENGTH = 48
 #: What one batch of texts may hold: a worker has its texts, ids and decoded texts at once.
 BATCH = "2m"
@@ -117,7 +117,7 @@ class MergeEncoder:
         """Whether the two pieces stay as they are when their characters are merged anew; left may be empty."""
         known = self.apart.get((left, right))
         if known is None:
-            if len(self.apart) >= MEMO_ENTRIES:  # pairs of a natural vocabulary stay far below
+            if len(self.apart) >= PAIR_ENTRIES:
                 self.apart.clear()
             known = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
