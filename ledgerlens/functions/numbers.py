@@ -51,6 +51,12 @@ def round_half_even(c: Column, digits: int = 2) -> Column:
     return F.replace(F.format_number(c, digits), F.lit(","), F.lit("")).try_cast("double")
 
 
+def plain(c: Column) -> Column:
+    """A number as text with the digits it needs and no exponent: ``1250.0``, ``12500000.5``; None for null."""
+    text = F.regexp_replace(c.cast("string").try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    return F.coalesce(F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text), c.cast("string"), F.lit("None"))
+
+
 def canonical(value: Column, unit: Column, scale: Column) -> Column:
     return F.when(unit == "%", value).otherwise(value * scale)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import within_tolerance
+from ..functions.numbers import plain, within_tolerance
 
 
 def compare(gold: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -31,17 +33,34 @@ def metrics(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return c.withColumn("abstention", 1 - F.col("coverage"))
 
 
-def errors(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """doc_id, field_id, message of gold rows that are missing, or verified and wrong."""
-    rows = compare(gold, predictions).where("missing or (p_verified and not ok)")
-    key = F.concat_ws("/", "doc_id", "field_id")
-    wrong = F.concat(F.lit("WRONG "), key, F.lit(" pred="), F.coalesce(F.format_number("p_value", 2), F.lit("None")), F.lit(" gold="), F.format_number("value", 2))
-    return rows.select("doc_id", "field_id", F.when(F.col("missing"), F.concat(F.lit("MISSING "), key)).otherwise(wrong).alias("message"))
+def errors(gold: DataFrame, predictions: DataFrame, first: int | None = None) -> DataFrame:
+    """doc_id, field_id, message of gold rows that are missing or out of tolerance, verified or not; the first by key, if asked."""
+    rows = compare(gold, predictions).where("missing or not ok")
+    key, said = F.concat_ws("/", "doc_id", "field_id"), lambda v, u: F.concat(plain(F.col(v)), F.lit(" "), F.coalesce(u, F.lit("None")))
+    wrong = F.concat(F.lit("WRONG "), key, F.lit(" pred="), said("p_value", "p_unit"), F.lit(" gold="), said("value", "unit"))
+    found = rows.select("doc_id", "field_id", F.when(F.col("missing"), F.concat(F.lit("MISSING "), key)).otherwise(wrong).alias("message"))
+    return found if first is None else found.orderBy("doc_id", "field_id").limit(first)
+
+
+#: The lines of the report.
+REPORT = (
+    "=== Extraction Evaluation ===",
+    "Gold items            : {n_gold}",
+    "Verified predictions  : {n_verified}",
+    "Within tolerance (all): {n_within_tol} / {n_gold}  (accuracy={accuracy})",
+    "Correct among verified: {n_correct_verified} / {n_verified}  (precision={precision})",
+    "Recall (verified corr): {recall}",
+    "Verified coverage     : {coverage}   (abstention={abstention})",
+    "Unverified but OK     : {n_unverified_but_ok}",
+    "Wrong-unit count      : {n_wrong_unit}",
+)
+RATES = ("accuracy", "precision", "recall", "coverage", "abstention")
 
 
-def format_report(row) -> str:
-    """The metrics row as text: a header and eight lines."""
-    pct = lambda x: f"{100 * x:.1f}%"
-    return "\n".join([
-        "=== Evaluation ===", f"Gold values: {row.n_gold}", f"Accuracy: {pct(row.accuracy)}", f"Precision (verified): {pct(row.precision)}", f"Recall: {pct(row.recall)}",
-        f"Coverage: {pct(row.coverage)}", f"Abstention: {pct(row.abstention)}", f"Missing: {row.n_missing}", f"Wrong unit: {row.n_wrong_unit}"])
+def report(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One row, report: the metrics as text, rates in percent with one place."""
+    parts = []
+    for k, piece in enumerate(re.split(r"\{(\w+)\}", "\n".join(REPORT))):
+        rate = F.concat(F.format_number(100 * F.col(piece), 1), F.lit("%")) if piece in RATES else None
+        parts.append(F.lit(piece) if k % 2 == 0 else rate if rate is not None else F.col(piece).cast("string"))
+    return metrics(gold, predictions).select(F.concat(*parts).alias("report"))

@@ -64,8 +64,24 @@ def final_values(extracted: DataFrame, overrides: DataFrame, documents: DataFram
 
 
 def gold_merge(existing: DataFrame, predictions: DataFrame, only_verified: bool, order: list[Column]) -> DataFrame:
-    """Existing gold rows, then one new row (without a value) for each key not yet there."""
+    """Existing gold rows, then one new row (without a value) for each key not yet there; seq, where existing has it, is kept."""
     new = predictions.where("verified") if only_verified else predictions
     new = dedupe(new, ["doc_id", "field_id"], order, last=False).join(existing, ["doc_id", "field_id"], "left_anti")
-    new = new.select("doc_id", "field_id", "unit", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_new"))
-    return existing.select("doc_id", "field_id", "unit", "value", F.lit(0).alias("is_new")).unionByName(new)
+    new = new.select("doc_id", "field_id", "unit", F.lit(None).cast(existing.schema["value"].dataType).alias("value"), F.lit(1).alias("is_new"))
+    kept = [c for c in ("seq",) if c in existing.columns]
+    return existing.select("doc_id", "field_id", "unit", "value", F.lit(0).alias("is_new"), *kept).unionByName(new, allowMissingColumns=True)
+
+
+def final_values_of(final: DataFrame, doc_id) -> DataFrame:
+    """The final values of one document, by field."""
+    return final.where(F.col("doc_id") == doc_id).select("doc_id", "field_id", "value", "unit", "verified", "source_type", "source_note").orderBy("field_id")
+
+
+def document_list(documents: DataFrame) -> DataFrame:
+    """Documents by display name."""
+    return documents.select("doc_id", "display_name", "pdf_path", "pdf_url", "page_count").orderBy("display_name", "doc_id")
+
+
+def load_counts(loaded: DataFrame, file: str = "file") -> DataFrame:
+    """n_docs (files) and n_rows of a load, in one row."""
+    return loaded.agg(F.count_distinct(file).alias("n_docs"), F.count("*").alias("n_rows"))

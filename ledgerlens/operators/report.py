@@ -55,5 +55,11 @@ def metric_cards(final: DataFrame) -> DataFrame:
     return final.where(F.col("field_id").isin(*CARDS)).select("doc_id", "field_id", label(F.col("field_id")).alias("label"), value_compact(F.col("value"), F.col("unit")).alias("value_text"))
 
 
+def summaries_of(summaries: DataFrame, doc_id) -> DataFrame:
+    """The summaries of one document in the order of its sections."""
+    rows = summaries.where(F.col("doc_id") == doc_id).select("section_id", "title", "start_page", "end_page", "summary")
+    return rows.orderBy(section_rank(F.col("section_id")), "start_page", "section_id")
+
+
 def display_name(given: Column, company: Column, year: Column, doc_id: Column) -> Column:
     return F.coalesce(null_if_empty(F.trim(given)), F.when((company != "") & year.isNotNull(), F.concat(company, F.lit(" ("), year.cast("string"), F.lit(")"))), null_if_empty(company), doc_id.cast("string"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scale as S
-from ..functions.numbers import close_to, current_previous, numbers_de, round_half_even
+from ..functions.numbers import close_to, current_previous, numbers_de, plain, round_half_even
 
 #: Notes, and the weights of the confidence.
 NO_VALUE = "no_value_or_not_ok"
@@ -41,9 +41,9 @@ def verify(df: DataFrame, rounded: bool = True) -> DataFrame:
     ratio_note = F.lit(None).cast("string")
     if {"ratio_expected", "ratio_tol"} <= set(df.columns):
         asked = (unit == "%") & F.col("ratio_expected").isNotNull() & F.col("ratio_tol").isNotNull()
-        near = F.abs(F.col("__value") - F.col("ratio_expected")) <= F.col("ratio_tol")
+        near = F.coalesce(F.abs(F.col("__value") - F.col("ratio_expected")) <= F.col("ratio_tol"), F.lit(False))
         score = F.when(asked & near, F.least(F.lit(1.0), score + RATIO_GAIN)).otherwise(score)
-        ratio_note = F.when(asked & ~near, F.concat(F.lit("Erwartetes Verhältnis "), F.col("ratio_expected").cast("string")))
+        ratio_note = F.when(asked & ~near, F.concat(F.lit("Erwartetes Verhältnis ist "), plain(F.col("ratio_expected")), F.lit(" anstatt "), plain(F.col("__value"))))
     notes = F.concat_ws(";", F.when(missing, NOT_FOUND), F.when(previous, PREVIOUS_YEAR), ratio_note)
     fine = gate & (score >= THRESHOLD) & ~missing & ~previous & unit.isNotNull() & F.col("__value").isNotNull()
     return (

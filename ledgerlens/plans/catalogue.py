@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,8 +32,8 @@ EXTRACTIONS = f"SELECT l_orderkey AS doc_id, {FIELD} AS field_id, l_extendedpric
 OVERRIDES = "SELECT o_orderkey AS doc_id, 'scr_total' AS field_id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS value, 'EUR' AS unit, 'review' AS note FROM {orders} WHERE o_orderkey % 37 = 0 UNION ALL SELECT o_orderkey, 'sii_ratio_pct', CAST(150 AS DOUBLE), '%', 'review' FROM {orders} WHERE o_orderkey % 53 = 0"
 KNOWN = "SELECT o_orderkey AS doc_id FROM {orders} WHERE o_orderkey % 11 <> 0"
 GOLD = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'scr_total' WHEN 1 THEN 'mcr_total' WHEN 2 THEN 'eof_total' ELSE 'sii_ratio_pct' END AS field_id, CASE WHEN o_orderkey % 4 = 3 THEN '%' ELSE 'EUR' END AS unit, o_totalprice AS value FROM {orders}"
-#: Gold near the extracted values for some rows, so that every outcome occurs.
-GOLD_NEAR = f"SELECT l_orderkey AS doc_id, {FIELD} AS field_id, CASE WHEN min(l_suppkey) % 7 = 0 THEN '%' ELSE 'EUR' END AS unit, min(l_extendedprice) + CASE WHEN min(l_suppkey) % 2 = 0 THEN 100 ELSE 0 END AS value FROM {{lineitem}} WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber UNION ALL SELECT o_orderkey, 'unknown', 'EUR', o_totalprice FROM {{orders}} WHERE o_orderkey % 10 = 0"
+#: Gold near the extracted values, so that every outcome occurs.
+GOLD_NEAR = f"SELECT l_orderkey AS doc_id, {FIELD} AS field_id, CASE WHEN l_linenumber = 5 OR min(l_suppkey) % 7 = 0 THEN '%' ELSE 'EUR' END AS unit, min(l_extendedprice) + CASE WHEN min(l_suppkey) % 2 = 0 THEN 100 ELSE 0 END AS value FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber UNION ALL SELECT o_orderkey, 'unknown', 'EUR', o_totalprice FROM {{orders}}"
 HITS = "SELECT CAST(p_partkey % 100 AS INT) AS doc_id, p_partkey AS hit_seq, substr('ABCDE', CAST(floor(p_partkey / 100) AS INT) % 5 + 1, 1) AS letter, p_size AS page FROM {part}"
 ITEMS = "SELECT CAST(p_partkey % 100 AS INT) AS doc_id, p_partkey AS seq, p_size AS page, p_name AS title, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(substr('ABCDE', CAST(floor(p_partkey / 100) AS INT) % 5 + 1, 1), '.', CAST(p_partkey % 12 + 1 AS STRING)) END AS left_marker FROM {part}"
 PAGE_COUNTS = "SELECT DISTINCT CAST(p_partkey % 100 AS INT) AS doc_id, 60 AS page_count FROM {part}"
@@ -91,7 +92,7 @@ pool AS (
   WHERE verified AND NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = x.doc_id AND o.field_id = x.field_id)
   UNION ALL SELECT doc_id, field_id, value, unit, 'manual', note, 0 FROM o),
 ratio AS (
-  SELECT doc_id, 100 * max(value) FILTER (field_id = 'eof_total') / nullif(max(value) FILTER (field_id = 'scr_total'), 0) AS value FROM pool GROUP BY doc_id),
+  SELECT doc_id, format('{{:.2f}}', 100 * max(value) FILTER (field_id = 'eof_total') / nullif(max(value) FILTER (field_id = 'scr_total'), 0))::DOUBLE AS value FROM pool GROUP BY doc_id),
 every AS (
   SELECT * FROM pool UNION ALL SELECT doc_id, 'sii_ratio_pct', value, '%', 'derived', 'Eigenmittel / SCR', 1 FROM ratio WHERE value IS NOT NULL)
 SELECT doc_id, field_id, value, unit, source_type, source_note, true AS verified FROM every
@@ -100,7 +101,7 @@ WHERE doc_id IN (SELECT doc_id FROM known) QUALIFY row_number() OVER (PARTITION
 
 @query("final_values", _FINAL)
 def final_values(spark, sf_dir):
-    return merge.final_values(latest(spark, sf_dir), rows(spark, sf_dir, OVERRIDES), rows(spark, sf_dir, KNOWN), rounded=False)
+    return merge.final_values(latest(spark, sf_dir), rows(spark, sf_dir, OVERRIDES), rows(spark, sf_dir, KNOWN))
 
 
 @query("docs_display_name", f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Report' WHEN company <> '' THEN company || ' (' || year || ')' ELSE doc_id::VARCHAR END AS display_name FROM ({duck(DOCS)})")
@@ -170,12 +171,35 @@ def eval_metrics(spark, sf_dir):
 
 
 @query("eval_errors", _COMPARE + """
-SELECT doc_id, field_id, CASE WHEN missing THEN 'MISSING ' || doc_id || '/' || field_id ELSE 'WRONG ' || doc_id || '/' || field_id || ' pred=' || format('{:,.2f}', pv) || ' gold=' || format('{:,.2f}', value) END AS message
-FROM c WHERE missing OR (v AND NOT ok)""")
+SELECT doc_id, field_id, CASE WHEN missing THEN 'MISSING ' || doc_id || '/' || field_id ELSE 'WRONG ' || doc_id || '/' || field_id || ' pred=' || pv || ' ' || pu || ' gold=' || value || ' ' || unit END AS message
+FROM c WHERE missing OR NOT ok""")
 def eval_errors(spark, sf_dir):
     return evaluate.errors(rows(spark, sf_dir, GOLD_NEAR), latest(spark, sf_dir))
 
 
+@query("eval_first_errors", _COMPARE + """
+SELECT doc_id, field_id, CASE WHEN missing THEN 'MISSING ' ELSE 'WRONG ' END AS kind FROM c WHERE missing OR NOT ok ORDER BY doc_id, field_id LIMIT 50""")
+def eval_first_errors(spark, sf_dir):
+    e = evaluate.errors(rows(spark, sf_dir, GOLD_NEAR), latest(spark, sf_dir), first=50)
+    return e.select("doc_id", "field_id", F.regexp_extract("message", "^[A-Z]+ ", 0).alias("kind"))
+
+
+_PCT = "format('{{:.1f}}%', 100 * ({x}))"
+
+
+@query("eval_report", _COMPARE + f""",
+n AS (
+  SELECT count(*) AS g, count_if(v)::BIGINT AS vf, count_if(v AND ok)::BIGINT AS cv, count_if(ok)::BIGINT AS wt, count_if(NOT v AND ok)::BIGINT AS uo, count_if(NOT v AND NOT missing AND NOT ok AND pu <> unit)::BIGINT AS wu FROM c)
+SELECT concat_ws(chr(10), '=== Extraction Evaluation ===', 'Gold items            : ' || g, 'Verified predictions  : ' || vf,
+  'Within tolerance (all): ' || wt || ' / ' || g || '  (accuracy=' || {_PCT.format(x='wt::DOUBLE / g')} || ')',
+  'Correct among verified: ' || cv || ' / ' || vf || '  (precision=' || {_PCT.format(x='cv::DOUBLE / vf')} || ')',
+  'Recall (verified corr): ' || {_PCT.format(x='cv::DOUBLE / g')},
+  'Verified coverage     : ' || {_PCT.format(x='vf::DOUBLE / g')} || '   (abstention=' || {_PCT.format(x='1 - vf::DOUBLE / g')} || ')',
+  'Unverified but OK     : ' || uo, 'Wrong-unit count      : ' || wu) AS report FROM n""")
+def eval_report(spark, sf_dir):
+    return evaluate.report(rows(spark, sf_dir, GOLD_NEAR), latest(spark, sf_dir))
+
+
 @query("gold_merge", f"""
 WITH g AS ({duck(GOLD)}), p AS ({_LATEST})
 SELECT doc_id, field_id, unit, value, 0 AS is_new FROM g
@@ -492,14 +516,27 @@ WITH x AS (SELECT *, source_text AS text FROM ({duck(_VERIFY)})), a AS (
     coalesce(CASE WHEN scale IN (1, 1000, 1000000, 1000000000) THEN scale END, CASE WHEN source_text IS NULL THEN 1000 ELSE {_SCALE_SQL} END, CASE WHEN unit = 'EUR' THEN 1 END)::DOUBLE AS sc FROM x),
 b AS (
   SELECT *, src AND NOT coalesce(list_bool_or(list_transform(list_concat([cur, prev], nums), lambda c: {_CLOSE.format(c="c")})), false) AS missing,
-    src AND coalesce({_CLOSE.format(c="prev")}, false) AS previous, CASE WHEN unit = '%' THEN value_unscaled ELSE value_unscaled * sc END AS val FROM a),
+    src AND coalesce({_CLOSE.format(c="prev")}, false) AS previous, format('{{:.2f}}', CASE WHEN unit = '%' THEN value_unscaled ELSE value_unscaled * sc END)::DOUBLE AS val FROM a),
 c AS (
   SELECT *, round(0.5::DOUBLE + CASE WHEN src THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN has_evidence THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN missing THEN 0.35::DOUBLE ELSE 0 END - CASE WHEN previous THEN 0.25::DOUBLE ELSE 0 END, 2) AS conf FROM b)
 SELECT {KEYS}, gate AND conf >= 0.5 AND NOT missing AND NOT previous AS verified, CASE WHEN gate THEN val END AS value_canonical, CASE WHEN gate THEN conf ELSE 0 END::DOUBLE AS confidence,
   CASE WHEN gate AND unit <> '%' THEN sc END AS scale_applied, CASE WHEN NOT gate THEN '{V.NO_VALUE}' WHEN missing THEN '{V.NOT_FOUND}' WHEN previous THEN '{V.PREVIOUS_YEAR}' END AS verifier_notes FROM c""")
 def verify_extractions(spark, sf_dir):
     x = rows(spark, sf_dir, _VERIFY).withColumn("typical_scale", F.when(F.col("source_text").isNull(), 1000.0)).withColumn("page_text", F.lit(None).cast("string"))
-    return V.verify(x, rounded=False).select(*KEYS.split(", "), "verified", "value_canonical", "confidence", "scale_applied", "verifier_notes")
+    return V.verify(x).select(*KEYS.split(", "), "verified", "value_canonical", "confidence", "scale_applied", "verifier_notes")
+
+
+_RATIO = "SELECT o_orderkey AS doc_id, 'ok' AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'EUR' ELSE '%' END AS unit, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey % 300 AS DOUBLE) + CAST(0.5 AS DOUBLE) END AS value_unscaled, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey % 300 + o_orderkey % 4 AS DOUBLE) END AS ratio_expected, o_orderkey % 2 = 0 AS has_evidence FROM {orders}"
+
+
+@query("verify_ratio", f"""
+WITH x AS (SELECT *, value_unscaled IS NOT NULL AS gate, unit = '%' AND ratio_expected IS NOT NULL AS asked, CASE WHEN has_evidence THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS base FROM ({duck(_RATIO)})),
+y AS (SELECT *, asked AND coalesce(abs(value_unscaled - ratio_expected) <= 1, false) AS near FROM x)
+SELECT doc_id, gate AS verified, CASE WHEN gate THEN CASE WHEN near THEN base + 0.15::DOUBLE ELSE base END ELSE 0 END::DOUBLE AS confidence,
+  CASE WHEN NOT gate THEN '{V.NO_VALUE}' WHEN asked AND NOT near THEN 'Erwartetes Verhältnis ist ' || ratio_expected || ' anstatt ' || value_unscaled END AS verifier_notes FROM y""")
+def verify_ratio(spark, sf_dir):
+    x = rows(spark, sf_dir, _RATIO).withColumns({"ratio_tol": F.lit(1.0), "scale": F.lit(None).cast("double"), "typical_scale": F.lit(None).cast("double"), "source_text": F.lit(None).cast("string"), "page_text": F.lit(None).cast("string")})
+    return V.verify(x).select("doc_id", "verified", "confidence", "verifier_notes")
 
 
 @query("snippet_hash", "SELECT doc_id, substr(sha1(concat_ws(' | ', CASE WHEN trim(text) <> '' THEN text END, CASE WHEN doc_id % 3 > 0 THEN lang END, doc_id::VARCHAR)), 1, 16) AS hash FROM documents")
@@ -548,10 +585,40 @@ _POS_CASE = "CASE field_id " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in e
 @query("ui_rows", f"""
 SELECT doc_id, {_POS_CASE} AS pos, {_LABEL_CASE} AS Feld, CASE WHEN value IS NULL THEN '—' ELSE {_DE.format(x='value')} || ' ' || unit END AS Wert,
   concat_ws(' – ', CASE source_type WHEN 'derived' THEN 'Abgeleitet' WHEN 'extracted' THEN 'Automatisch extrahiert' END, source_note) AS Hinweise
-FROM ({_FINAL}) WHERE field_id <> 'sii_ratio_pct' OR source_type <> 'derived'""")
+FROM ({_FINAL})""")
 def ui_rows(spark, sf_dir):
-    # derived ratios are unrounded in these queries, and formatting them would compare ties
-    return report.table_rows(final_values(spark, sf_dir).where("field_id != 'sii_ratio_pct' or source_type != 'derived'"))
+    return report.table_rows(final_values(spark, sf_dir))
+
+
+@query("metric_cards", f"""
+SELECT doc_id, field_id, {_LABEL_CASE} AS label, CASE WHEN value IS NULL THEN '—' WHEN unit = '%' THEN {_DE.format(x='value')} || ' %' WHEN abs(value) >= 1e9 THEN {_DE.format(x='value / 1e9')} || ' Mrd €' WHEN abs(value) >= 1e6 THEN {_DE.format(x='value / 1e6')} || ' Mio €' ELSE {_DE.format(x='value')} || ' EUR' END AS value_text
+FROM ({_FINAL}) WHERE field_id IN ('sii_ratio_pct', 'eof_total', 'scr_total', 'mcr_total')""")
+def metric_cards(spark, sf_dir):
+    return report.metric_cards(final_values(spark, sf_dir))
+
+
+@query("final_values_lookup", f"SELECT * FROM ({_FINAL}) WHERE doc_id = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 37 = 0 AND o_orderkey % 11 <> 0) ORDER BY field_id")
+def final_values_lookup(spark, sf_dir):
+    known = rows(spark, sf_dir, "SELECT max(o_orderkey) AS k FROM {orders} WHERE o_orderkey % 37 = 0 AND o_orderkey % 11 <> 0").head()
+    return merge.final_values_of(final_values(spark, sf_dir), known.k)
+
+
+_SUMMARIES = "SELECT user_id AS doc_id, substr('ABCDEZX', CAST(event_id % 7 + 1 AS INT), 1) AS section_id, event_type AS title, CAST(event_id AS INT) AS start_page, CAST(event_id + 1 AS INT) AS end_page, concat('S', CAST(event_id AS STRING)) AS summary FROM {events}"
+
+
+@query("summaries_lookup", f"SELECT section_id, title, start_page, end_page, summary FROM ({duck(_SUMMARIES)}) WHERE doc_id = (SELECT min(user_id) FROM events) ORDER BY CASE section_id WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'D' THEN 4 WHEN 'E' THEN 5 ELSE 99 END, start_page")
+def summaries_lookup(spark, sf_dir):
+    return report.summaries_of(rows(spark, sf_dir, _SUMMARIES), rows(spark, sf_dir, "SELECT min(user_id) AS k FROM {events}").head().k)
+
+
+@query("documents_list", "SELECT o_orderkey AS doc_id, c_name AS display_name, o_orderstatus AS pdf_path, o_orderpriority AS pdf_url, (o_orderkey % 90)::INT AS page_count FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY display_name, doc_id")
+def documents_list(spark, sf_dir):
+    return merge.document_list(rows(spark, sf_dir, "SELECT o_orderkey AS doc_id, c_name AS display_name, o_orderstatus AS pdf_path, o_orderpriority AS pdf_url, CAST(o_orderkey % 90 AS INT) AS page_count FROM {orders} JOIN {customer} ON o_custkey = c_custkey"))
+
+
+@query("load_counts", "SELECT count(DISTINCT l_linestatus) AS n_docs, count(*) AS n_rows FROM lineitem")
+def load_counts(spark, sf_dir):
+    return merge.load_counts(rows(spark, sf_dir, "SELECT l_linestatus AS file FROM {lineitem}"))
 
 
 @query("summaries_ordered", """
@@ -603,7 +670,10 @@ def toc_items(spark, sf_dir):
 
 @query("json_roundtrip", f"SELECT doc_id::VARCHAR AS doc_id, field_id, value AS value_canonical, unit, verified FROM ({_LATEST})")
 def json_roundtrip(spark, sf_dir):
-    out = tempfile.mkdtemp(prefix="ledgerlens-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/extractions-{spark.sparkContext.applicationId}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    out = f"{shared.rstrip('/')}/extractions-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="ledgerlens-")
     files.write_jsonl(latest(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "field_id", F.lit("ok").alias("status"), "verified", F.col("value").alias("value_canonical"), "unit"), out)
     back = spark.read.schema(files.EXTRACTIONS).json(out)
     return back.select("doc_id", "field_id", "value_canonical", "unit", "verified")

@@ -47,8 +47,11 @@ CATALOG_COLUMNS = ["doc_id", "year", "company", "pdf_path", "pdf_url", "display_
 
 
 def read_gold(spark: SparkSession, path: str, sep: str = ";", numeric: bool = True) -> DataFrame:
+    """Gold rows with seq, their place in the file; of rows with one key the last stays, at the first one's place."""
     df = spark.read.schema(GOLD).option("header", True).option("sep", sep).csv(path)
-    df = df.select(*[F.trim(c).alias(c) for c in df.columns]).where("doc_id != '' and field_id != ''")
+    df = df.select(*[F.trim(c).alias(c) for c in df.columns]).where("doc_id != '' and field_id != ''").withColumn("seq", F.monotonically_increasing_id())
+    last = F.max_by(F.struct("unit", "value"), "seq")
+    df = df.groupBy("doc_id", "field_id").agg(last.alias("last"), F.min("seq").alias("seq")).select("doc_id", "field_id", "last.unit", "last.value", "seq")
     return df.withColumn("value", F.col("value").try_cast("double")) if numeric else df
 
 
@@ -91,6 +94,26 @@ def write_ingest(df: DataFrame, path: str) -> None:
     df.select("doc_id", row.alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
-def write_gold(df: DataFrame, path: str, sep: str = ";") -> None:
-    """Gold CSV, existing rows first, new rows by key; a gold set is small by nature, hence one file."""
-    df.orderBy("is_new", "doc_id", "field_id").drop("is_new").coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+def write_gold(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Gold CSV, existing rows in their order, new rows by key; ranges of the order become files that are read in turn."""
+    order = ["is_new", *[c for c in ("seq",) if c in df.columns], "doc_id", "field_id"]
+    df.orderBy(*order).select("doc_id", "field_id", "unit", "value").write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+
+
+def backup(spark: SparkSession, path: str) -> bool:
+    """Copy a file or folder to its name with ``.bak``, through Hadoop's file system; whether there was one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.bak")
+    fs = source.getFileSystem(conf)
+    return fs.exists(source) and jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, target, False, True, conf)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A text column as text files; a report is one row."""
+    df.write.mode("overwrite").text(path)
+
+
+def refresh_final_values(final: DataFrame, path: str) -> int:
+    """Replace the table of final values; the number of rows written."""
+    final.write.mode("overwrite").parquet(path)
+    return final.sparkSession.read.parquet(path).count()

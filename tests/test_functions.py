@@ -168,4 +168,16 @@ def test_replay_provider(spark):
 def test_report_lines(spark):
     g = spark.createDataFrame([("d", "f", "EUR", 1.0)], "doc_id string, field_id string, unit string, value double")
     p = spark.createDataFrame([("d", "f", "EUR", 400.0, True)], "doc_id string, field_id string, unit string, value double, verified boolean")
-    assert evaluate.format_report(evaluate.metrics(g, p).head()).split("\n")[2] == "Accuracy: 100.0%"
+    lines = evaluate.report(g, p).head().report.split("\n")
+    assert len(lines) == 9 and lines[3] == "Within tolerance (all): 1 / 1  (accuracy=100.0%)" and lines[7] == "Unverified but OK     : 0"
+    none = evaluate.report(g.where("false"), p).head().report
+    assert "Recall (verified corr): 0.0%" in none
+    off = p.withColumns({"value": F.lit(9000.5), "verified": F.lit(False)})
+    assert evaluate.errors(g, off).head().message == "WRONG d/f pred=9000.5 EUR gold=1.0 EUR"
+
+
+def test_ratio_note(spark):
+    x = spark.createDataFrame([("ok", 150.0, "%", 120.0, 5.0), ("ok", 150.0, "%", 152.0, 5.0)], "status string, value_unscaled double, unit string, ratio_expected double, ratio_tol double")
+    x = x.selectExpr("*", "cast(null as double) scale", "cast(null as double) typical_scale", "cast(null as string) source_text", "cast(null as string) page_text", "true has_evidence")
+    got = verify.verify(x).collect()
+    assert [(r.verifier_notes, r.confidence) for r in got] == [("Erwartetes Verhältnis ist 120.0 anstatt 150.0", 0.6), (None, 0.75)]
