@@ -179,6 +179,34 @@ def test_licences(spark):
     assert [r.labels for r in got][:2] == ["cc-by,cc-by-nc-4.0", "mit"] and got[7].labels == "gpl,gpl-3.0" and got[6].labels == ""
 
 
+def test_licence_index_by_brute_force(spark):
+    r = random.Random(21)
+    noise = "the of license software version 2 0 public terms permission copy notice free 1 any".split()
+    texts = []
+    for label, passage, keys in license_scan.PASSAGES:
+        w = passage.split()
+        cut = w[: r.randrange(3, len(w) + 1)]
+        texts += [f"Foo {' '.join(w).upper()}, bar", f"{' '.join(cut)} {' '.join(keys)}", " ".join(x if r.random() < 0.7 else r.choice(noise) for x in w), " ".join(keys)]
+    texts += [" ".join(r.choice(noise) for _ in range(60)) for _ in range(20)] + [" ".join(license_scan.PASSAGES[34][1] for _ in range(300))]
+    postings, idf, totals = license_scan.build_index()
+    for row in license_scan.scan_licenses(docs(spark, texts).repartition(8)).collect():
+        words = WORD.findall(row.text.translate(LOW))
+        rare = {*sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))[: license_scan.RARE_WORDS]}
+        groups = {}
+        for i, w in enumerate(words):
+            for k, at in postings[w] if w in rare else ():
+                groups.setdefault((k, i - at), set()).add(at)
+        want = {}
+        for k, (label, passage, keys) in enumerate(license_scan.PASSAGES):
+            places = set().union(*[x for (p, _), x in groups.items() if p == k and len(x) >= license_scan.MIN_AGREEING])
+            if places and all(f" {x} " in f" {' '.join(words)} " for x in keys):
+                share = min(1.0, sum(idf[passage.split()[at]] for at in places) / totals[k])
+                want[label] = max(want.get(label, 0.0), share)
+        base = {label for phrase, label in license_scan.BASE_PHRASES if f" {phrase} " in f" {' '.join(words)} "}
+        assert {*row.labels.split(",")} - {""} == want.keys() | base, row.text
+        assert row.score == pytest.approx(max([0.5 if base else 0.0, *want.values()]), abs=2e-4)
+
+
 def test_near_duplicates_by_brute_force(spark):
     r = random.Random(5)
     base = [prose(s, 60).split() for s in range(6)]
