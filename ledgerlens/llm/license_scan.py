@@ -11,8 +11,9 @@ largest share of a found passage's IDF that agrees.
 
 The index is a constant of the plan, bounded by the template list; the scan is one projection of
 built-in functions over whole texts, without a shuffle.  Hits are packed into whole numbers and
-sorted, so that a text of many hits costs little more than sorting them.  Texts without any word
-that a key phrase needs are not looked up, as no phrase could be verified.
+sorted, so that a text of many hits costs little more than sorting them.  Texts in which no passage's
+key phrases stand are not looked up, as nothing found could be verified: words are sought as plain
+bytes, each once, before the patterns are tried.
 
 Defined results: null and empty texts have no words, no labels and score 0; an empty table gives an
 empty one; repeated rows give repeated rows; very long texts are read whole; other columns stay, but
@@ -78,7 +79,7 @@ PASSAGES = (
     ("python-2.0", "this license agreement is between the python software foundation and the individual or organization licensee accessing and otherwise using python software in source or binary form", ("python software foundation",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("compiled binary for any purpose",)),
-    ("wtfpl", "do what the fuck you want to public license", ("what the fuck you want to",)),
+    ("wtfpl", "do what the fuck you want to public license", ("fuck you want to",)),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("will the authors be held liable",)),
 )
 #: So many looked-up words of one passage must agree in relative position.
@@ -130,8 +131,8 @@ def _agreeing(words: Column, passages: tuple) -> Column:
     """The hits, packed and sorted, that agree with MIN_AGREEING - 1 others or more."""
     postings, idf, _ = build_index(passages)
     table = F.create_map(*[x for w, p in postings.items() for x in (F.lit(w), F.struct(F.lit(-idf[w]).alias("order"), F.array(*[F.lit(k * PASSAGE - i * (PLACE - 1)) for k, i in p]).alias("at")))])
-    known = F.filter(F.transform(F.array_distinct(words), lambda w: F.struct(table[w]["order"].alias("order"), w.alias("w"), table[w]["at"].alias("at"))), lambda x: x["order"].isNotNull())
-    rare = F.slice(F.sort_array(known), 1, RARE_WORDS)
+    known = F.filter(F.transform(F.array_distinct(words), lambda w: F.struct(table[w].alias("found"), w.alias("w"))), lambda x: x["found"].isNotNull())
+    rare = F.slice(F.sort_array(F.transform(known, lambda x: F.struct(x["found"]["order"].alias("order"), x["w"].alias("w"), x["found"]["at"].alias("at")))), 1, RARE_WORDS)
 
     def hits(chosen: Column) -> Column:
         held, names = F.map_from_arrays(F.transform(chosen, lambda x: x["w"]), F.transform(chosen, lambda x: x["at"])), F.transform(chosen, lambda x: x["w"])
@@ -147,8 +148,15 @@ def _agreeing(words: Column, passages: tuple) -> Column:
     return F.transform(F.transform(F.array(rare), hits), together)[0]
 
 
-def _labels_by_index(text: Column, low: Column, passages: tuple) -> Column:
-    """Array of struct (label, score) of the passages found."""
+def _anchors(passages: tuple) -> list[str]:
+    """The longest words of the key phrases that hold no base phrase."""
+    base = [f" {p} " for p, _ in BASE_PHRASES]
+    return sorted({max(k.split(), key=lambda w: (len(w), w)) for _, _, keys in passages for k in keys if not any(b in f" {k} " for b in base)})
+
+
+def _labels_by_index(text: Column, low: Column, passages: tuple, words_held: Column, base_held: list[Column]) -> Column:
+    """Array of struct (label, score) of the passages found; words_held: which of the anchors the text holds, base_held: which base phrases."""
+    anchors = _anchors(passages)
     _, idf, totals = build_index(passages)
     weights = F.array(*[F.array(*[F.lit(idf[w]) for w in re.findall(WORD, p)]) for _, p, _ in passages])
     words = F.regexp_extract_all(ascii_lower(text), F.lit(WORD), 0)
@@ -156,7 +164,9 @@ def _labels_by_index(text: Column, low: Column, passages: tuple) -> Column:
     def keyed(keys: tuple) -> Column:
         out = F.lit(True)
         for k in keys:
-            out = out & holds(text, low, k)
+            base = [held for (p, _), held in zip(BASE_PHRASES, base_held, strict=True) if f" {p} " in f" {k} "]
+            first = base[0] if base else F.get(words_held, F.lit(anchors.index(max(k.split(), key=lambda w: (len(w), w)))))
+            out = out & F.when(first, holds(text, low, k)).otherwise(False)
         return out
 
     def found(agreeing: Column) -> Column:
@@ -169,8 +179,8 @@ def _labels_by_index(text: Column, low: Column, passages: tuple) -> Column:
 
     none = F.array().cast("array<struct<label: string, score: double>>")
     needed = F.lit(False)
-    for w in sorted({max(keys[0].split(), key=lambda w: (len(w), w)) for _, _, keys in passages}):
-        needed = needed | low.contains(w)
+    for keys in sorted({keys for _, _, keys in passages}):
+        needed = needed | keyed(keys)
     return F.when(needed, F.transform(F.array(_agreeing(words, passages)), found)[0]).otherwise(none)
 
 
@@ -191,7 +201,9 @@ def scan_licenses(df: DataFrame, text: str = "text", passages: tuple = PASSAGES)
         firsts.append(count_words(cut[0]))
         lasts.append(F.col("n_words") - count_words(F.element_at(cut, -1)) - len(phrase.split()))
         labels.append(F.when(cut.isNotNull(), F.lit(label)))
-    df = df.withColumn("__found", _labels_by_index(body, low, passages))
+    df = df.withColumn("__words", F.array(*[low.contains(w) for w in _anchors(passages)]))
+    held = [F.col(f"__cut{k}").isNotNull() for k in range(len(BASE_PHRASES))]
+    df = df.withColumn("__found", _labels_by_index(body, low, passages, F.col("__words"), held))
     base = F.filter(F.array(*labels), lambda x: x.isNotNull())
     return (
         df.withColumn("n_base", places)
@@ -200,5 +212,5 @@ def scan_licenses(df: DataFrame, text: str = "text", passages: tuple = PASSAGES)
         .withColumn("base_labels", F.array_join(F.array_sort(base), ","))
         .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.transform("__found", lambda x: x["label"])))), ","))
         .withColumn("score", F.greatest(F.when(places > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max(F.transform("__found", lambda x: x["score"])), F.lit(0.0))))
-        .drop("__text", "__low", "__found", *[f"__cut{k}" for k in range(len(BASE_PHRASES))])
+        .drop("__text", "__low", "__words", "__found", *[f"__cut{k}" for k in range(len(BASE_PHRASES))])
     )
