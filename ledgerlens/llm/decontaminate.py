@@ -11,7 +11,9 @@ driver nor a worker holds more than one block.  A test set beyond that costs one
 for each block; the intermediate table is written to the shared folder between blocks.
 
 Defined results: null and empty texts have no words and no hits; null and empty items match
-nothing; rows of one item id count as one item; a null item id is the empty id.
+nothing; rows of one item id count as one item; a null item id is the empty id; an empty test set
+or table leaves nothing hit; repeated rows are scanned alike; very long texts are scanned whole;
+other columns stay, and one named as ``into`` is replaced.
 """
 
 from __future__ import annotations

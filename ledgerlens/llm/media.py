@@ -1,7 +1,7 @@
 """Media columns: payloads as samples in archive directories, read by a custom Spark data source.
 
 Written form: each payload is an 8-bit greyscale PNG, rows of ``width`` samples, and the PNGs
-are stored members of zip archives, one archive a write task, in one folder of the shared store.
+are stored members of zip archives of at most ``ARCHIVE_BYTES`` and one member, in one folder of the shared store.
 PNG keeps the samples without loss and is a function of the payload alone, so equal texts have
 equal stored bytes.  The archive's own directory lists every member's offset.
 
@@ -11,7 +11,8 @@ its archive, streams its members in batches of bounded bytes through Arrow, and
 that fails (a short read, a wrong checksum) again by its offset, without touching the others.
 
 Defined results: a null text is the empty text and becomes one row of pads; a null doc_id stays
-null; repeated rows stay repeated; very long texts are single members.
+null; repeated rows stay repeated; an empty table gives an empty one; very long texts are single
+members; other columns are not carried.  A write task that fails removes what it has written.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .common import workers, shared_dir
 READ_SCHEMA = "doc_id bigint, n_bytes bigint, payload binary, media binary, feature string"
 WRITE_SCHEMA = "doc_id bigint, payload binary"
 WIDTH = 192
+#: A write task begins a new archive beyond so many stored bytes: each range of an archive reads its directory.
+ARCHIVE_BYTES = 256 << 20
 PAD = b"\x20"
 
 
@@ -106,42 +109,51 @@ class ArchiveRange(InputPartition):
 
 
 class ArchiveCommit(WriterCommitMessage):
-    def __init__(self, path: str | None):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """One archive a task, written under a name of its own and listed only when the job commits."""
+    """Archives of bounded size, written under names of their own and listed only when the job commits."""
 
     def __init__(self, options: dict):
         self.path, self.width = options["path"], int(options.get("width", WIDTH))
+        self.archive_bytes = int(options.get("archive_bytes", ARCHIVE_BYTES))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> ArchiveCommit:
         store, folder = file_system(self.path)
         store.create_dir(folder, recursive=True)
-        name, n = f"{folder}/.{uuid.uuid4().hex}.tmp", 0
-        with store.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-            for batch in batches:
-                for doc, data in zip(batch["doc_id"].to_pylist(), batch["payload"].to_pylist(), strict=True):
-                    # a fixed time keeps archives reproducible; the name has the row's number, its id and its unpadded size
-                    entry = zipfile.ZipInfo(f"{n}/{'' if doc is None else doc}/{len(data)}.png", (1980, 1, 1, 0, 0, 0))
-                    archive.writestr(entry, to_png(padded(data, self.width), self.width))
-                    n += 1
-        if not n:
-            store.delete_file(name)
-        return ArchiveCommit(name if n else None)
+        rows = ((doc, data) for batch in batches for doc, data in zip(batch["doc_id"].to_pylist(), batch["payload"].to_pylist(), strict=True))
+        paths, row = [], next(rows, None)
+        try:
+            while row is not None:
+                paths.append(f"{folder}/.{uuid.uuid4().hex}.tmp")
+                with store.open_output_stream(paths[-1]) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    held = n = 0
+                    while row is not None and held < self.archive_bytes:
+                        doc, data = row
+                        # a fixed time keeps archives reproducible; the name has the row's number, its id and its unpadded size
+                        entry = zipfile.ZipInfo(f"{n}/{'' if doc is None else doc}/{len(data)}.png", (1980, 1, 1, 0, 0, 0))
+                        media = to_png(padded(data, self.width), self.width)
+                        archive.writestr(entry, media)
+                        held, n, row = held + len(media), n + 1, next(rows, None)
+        except BaseException:
+            for p in paths:
+                store.delete_file(p)
+            raise
+        return ArchiveCommit(paths)
 
     def commit(self, messages: list) -> None:
         store, folder = file_system(self.path)
         for k, m in enumerate(messages):
-            if m is not None and m.path:
-                store.move(m.path, f"{folder}/archive-{k:06d}.zip")
+            for i, p in enumerate(m.paths if m is not None else []):
+                store.move(p, f"{folder}/archive-{k:06d}-{i:04d}.zip")
 
     def abort(self, messages: list) -> None:
         store, _ = file_system(self.path)
         for m in messages:
-            if m is not None and m.path:
-                store.delete_file(m.path)
+            for p in m.paths if m is not None else []:
+                store.delete_file(p)
 
 
 class ArchiveReader(DataSourceReader):
@@ -213,13 +225,13 @@ class MediaArchives(DataSource):
         return ArchiveWriter(dict(self.options))
 
 
-def write_media(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> None:
+def write_media(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the whole texts of all rows as media archives into the folder ``path``."""
     spark = df.sparkSession
     spark.dataSource.register(MediaArchives)
     workers(spark)
     payload = F.encode(F.coalesce(df[text].cast("string"), F.lit("")), "UTF-8")
-    df.select(df[doc_id].cast("long").alias("doc_id"), payload.alias("payload")).write.format("media_archives").option("width", str(width)).mode("append").save(path)
+    df.select(df[doc_id].cast("long").alias("doc_id"), payload.alias("payload")).write.format("media_archives").option("width", str(width)).option("archive_bytes", str(archive_bytes)).mode("append").save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:

@@ -15,7 +15,8 @@ of fixed size however large the corpus.
 All of it is built-in functions over whole texts; nothing is shuffled but those counts.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated rows; positions
-are code points, ends exclusive.
+are code points, ends exclusive; an empty table gives an empty one; very long texts are scanned
+whole; other columns stay, and one named as ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -198,7 +199,7 @@ def find_secrets(df: DataFrame, text: str = "text", into: str = "secrets", limit
     needed = F.lit(BINS + 1)
     df = df.withColumn("__base", base_spans(body))
     if not limits:
-        return df.withColumnRenamed("__base", into)
+        return df.withColumn(into, F.col("__base")).drop("__base")
 
     def accepted(c: Column) -> Column:
         need = needed

@@ -12,7 +12,9 @@ other characters, so the text falls into segments that are encoded alone; short
 remembered.  A model whose pieces do not allow a cut is served without it.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; characters that
-no piece covers become byte pieces; very long texts need memory in proportion to their length.
+no piece covers become byte pieces; very long texts need memory in proportion to their length;
+repeated rows are encoded alike; an empty table gives an empty one; other columns stay, and columns
+named as ``ids`` or ``decoded`` are replaced.
 """
 
 from __future__ import annotations

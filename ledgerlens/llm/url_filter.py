@@ -6,7 +6,9 @@ depend on their order and SQL elsewhere reproduces every score.  Judging a table
 projection of built-in functions: no shuffle, no Python.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule
-and gets the model's verdict on its bias alone; repeated rows are judged alike; other columns stay.
+and gets the model's verdict on its bias alone; repeated rows are judged alike; an empty table gives
+an empty one; very long urls are judged whole; other columns stay, but columns named host, path,
+rule, logit or verdict are replaced.
 """
 
 from __future__ import annotations

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,6 +362,146 @@ def test_media_round_trip(spark):
         media.from_png(bytes(got[4].media[:-9]) + b"x" * 9)
 
 
+def test_archives_roll_over(spark, tmp_path):
+    texts = [prose(700 + i, 300) for i in range(12)]
+    table = docs(spark, texts).coalesce(1)
+    media.write_media(table, f"file://{tmp_path}/m", archive_bytes=3000)
+    assert len(list((tmp_path / "m").glob("*.zip"))) > 2 and not list((tmp_path / "m").glob(".*.tmp"))
+    got = media.read_media(spark, f"file://{tmp_path}/m", range_bytes="1500").collect()
+    assert sorted((r.doc_id, bytes(r.payload)) for r in got) == [(i, media.padded(x.encode())) for i, x in enumerate(texts)]
+
+
+LONG = prose(800, 60_000) * 5
+#: Text, and how the one-megabyte text must come out: every operator's rows for odd tables.
+ODD = [(1, None), (1, None), (2, ""), (None, "you idiot token=abcdef123456"), (3, LONG), (4, LONG), (5, " \n "), (6, "kurz"), (6, "kurz")]
+
+
+def odd(spark, empty=False):
+    """Nulls, null ids, empty and very long texts, repeated rows, and columns whose names clash with results."""
+    extra = "host string, path string, rule string, verdict string, labels string, score double, n_words bigint, ids string, decoded string, secrets string, contamination string, toxicity string, media string, lang string"
+    rows = [] if empty else [(i, t, *[None] * 14) for i, t in ODD]
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, {extra}")
+
+
+def as_rows(df, *columns):
+    return sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_tables(spark, empty):
+    assert len(LONG) > 1_000_000
+    t, n = odd(spark, empty), 0 if empty else len(ODD)
+    items = spark.createDataFrame([(1, " ".join(LONG.split()[100:140])), (None, None)], "item_id bigint, text string")
+    grammar = toxicity.Grammar({"idiot": 4.0}, -3.0)
+    made = {
+        "url": url_filter.filter_urls(t, url="text").select("doc_id", "text", "host", "path", "rule", "verdict", "labels"),
+        "secrets": secret_scan.find_secrets(t).select("doc_id", "text", F.size("secrets").alias("n"), "labels"),
+        "leaks": decontaminate.find_contamination(t, items).select("doc_id", "text", F.col("contamination.n_words").alias("n"), decontaminate.n_hit().alias("hit"), "labels"),
+        "pieces": sentencepiece_bpe.encode_decode(t, llm.piece_model()).select("doc_id", "text", "decoded", "labels"),
+        "licences": license_scan.scan_licenses(t).select("doc_id", "text", "n_words", "labels", "score", "host"),
+        "toxic": toxicity.score_toxicity(t, grammar).select("doc_id", "text", F.col("toxicity.clauses").alias("n"), "labels"),
+        "media": media.media_columns(t),
+        "near": ngram_join.near_duplicates(t),
+    }
+    rows = {k: df.collect() for k, df in made.items()}
+    assert {k: len(r) for k, r in rows.items()} == dict.fromkeys(made, n)
+    spans = substring_dedup.repeated_spans(t)
+    left = substring_dedup.cut_spans(t, spans).collect()
+    chats = chat_format.format_trees(chat_format.chain(t.withColumnRenamed("lang", "role"), "doc_id", ["score"])).collect()
+    assert len(left) == n and len(chats) == len({i for i, _ in ODD}) * (not empty)
+    if empty:
+        assert spans.count() == 0
+        return
+    for k in ("secrets", "leaks", "licences", "toxic", "pieces", "url"):
+        assert sorted(((r.doc_id, r.text) for r in rows[k]), key=repr) == sorted(ODD, key=repr)
+    assert all(r.decoded == (r.text or "") for r in rows["pieces"])
+    assert {(r.doc_id, r.n) for r in rows["secrets"] if r.n} == {(None, 1)} and {(r.doc_id, r.n) for r in rows["toxic"] if r.n} == {(None, 1)}
+    words = {t: len(WORD.findall((t or "").translate(LOW))) for _, t in ODD}
+    assert all(r.n == words[r.text] for r in rows["leaks"]) and all(r.n_words == words[r.text] and r.score == 0 for r in rows["licences"])
+    # the passage stands once in each of the five copies within the long text
+    assert {(r.doc_id, r.hit) for r in rows["leaks"] if r.hit} == {(3, 200), (4, 200)}
+    assert sorted((r.component_id for r in rows["near"]), key=repr) == sorted([1, 1, 2, None, 3, 3, 5, 6, 6], key=repr)
+    assert sorted((r.n_bytes for r in rows["media"])) == sorted(len((t or "").encode()) for _, t in ODD)
+    kept = {r.doc_id: r.text for r in left}
+    assert kept[4] == "" and abs(len(kept[3]) - len(LONG) / 5) < 200 and kept[6] == "kurz"
+    assert max(r.n_words for r in spans.collect()) > 100_000
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, " ".join(LONG.split()[100:140]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for empty in (True, False):
+        table = odd(spark, empty)
+        for k, (_, stage) in enumerate(p.STAGES):
+            out = stage(spark, table, str(tmp_path))
+            if k + 1 < len(p.STAGES):
+                assert out.columns == table.columns
+                table = out
+            else:
+                assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        got = sorted((r.doc_id for r in out.collect()), key=repr)
+        # "you idiot" goes, of copies one stays, and 200 hits in a million words do not make the long text contaminated
+        assert got == ([] if empty else [1, 2, 3, 5, 6])
+
+
+def test_queries_as_queries(spark, sf):
+    """The queries without SQL, over their whole tables, against plain Python."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in llm.op2_secret_scan(spark, sf).collect():
+        base = base_spans(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[1] == k for b in base) for k in range(3))
+        said = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(filter(None, said.split(","))) <= set(r.spans.split(","))
+    for r in llm.op6_license_scan(spark, sf).collect():
+        w = WORD.findall(texts[r.doc_id].translate(LOW))
+        starts = [i for phrase, _ in license_scan.BASE_PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
+    for r in llm.op10_media(spark, sf).collect():
+        data = media.padded(texts[r.doc_id].encode())
+        stored = media.to_png(data)
+        want = (len(texts[r.doc_id].encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), media.features(np.frombuffer(data, np.uint8).reshape(-1, 192)))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
+    for r in llm.op9_substring_dedup(spark, sf).collect():
+        # every word of a span lies in a key that stands elsewhere too: its text is a run of whole words
+        found = texts[r.doc_id][r.start : r.stop]
+        assert len(found.split()) == r.n_words and 0 <= r.start < r.stop <= len(texts[r.doc_id])
+
+
+def test_planted_random_tokens(spark, sf):
+    r, letters = random.Random(31), secret_scan.ALPHABETS["base64"][:62]
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null")
+    ids = sorted(x.doc_id for x in table.select("doc_id").collect())[:40]
+    planted = {i: "".join(r.choice(letters) for _ in range(r.choice([24, 32, 48, 64, 128]))) for i in ids}
+    more = spark.createDataFrame(list(planted.items()), "doc_id bigint, token string")
+    both = table.join(more, "doc_id", "left").selectExpr("doc_id", "if(token is null, text, concat(text, ' ', token, ' end')) as text", "token")
+    got = secret_scan.find_secrets(both).selectExpr("doc_id", "text", "token", "filter(secrets, s -> s.rank = 3) as found").collect()
+    hit = sum(any(x.text[s["start"] : s["stop"]] == x.token for s in x.found) for x in got if x.token)
+    assert hit >= 36 and sum(len(x.found) for x in got if not x.token) <= 2
+
+
+def test_shared_folder(spark):
+    from ledgerlens.llm import common
+
+    class Context:
+        applicationId, master = "none", "spark://somewhere"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Context.master = "local[2]"
+    assert common.shared_dir(Session) == common.shared_dir(Session)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
