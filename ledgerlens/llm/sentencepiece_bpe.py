@@ -34,7 +34,7 @@ from .common import tidied, workers
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered segments and neighbour checks in one worker; the tables start anew when full.
-MEMO_ENTRIES, PAIR_ENTRIES = 150_000, 250_000
+MEMO_ENTRIES, PAIR_ENTRIES = 120_000, 180_000
 MEMO_LENGTH = 48
 #: What one batch of texts may hold: a worker has its texts, ids and decoded texts at once.
 BATCH = "2m"

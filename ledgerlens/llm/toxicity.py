@@ -67,6 +67,7 @@ MAX_CLAUSE = 8.0
 PRICE, MAX_PRICE = 0.1, 1.5
 #: Class symbols: insult, menace, harm, intention, target, negation, report, other.
 ALPHABET = "imhwtnro"
+OTHER = ("o", 1.0)
 _MEMO = 100_000
 _CLAUSE = re.compile(rb"[.!?;\n]+")
 _words = re.compile(WORD_BYTES)
@@ -155,7 +156,7 @@ class Insult:
             weight = max((self.stems.get(word[:n], 0.0) for n in self.sizes), default=0.0)
             if len(self.memo) >= _MEMO:
                 self.memo.clear()
-            found = self.memo[word] = ("i", weight) if weight else ("o", 1.0)
+            found = self.memo[word] = ("i", weight) if weight else OTHER
         return found
 
 
