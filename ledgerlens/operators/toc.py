@@ -16,18 +16,19 @@ from pyspark.sql import functions as F
 from ..functions.text import LEADERS, normalize_text
 
 TOLERANCE, TOC_PAGES = 3.0, 6
-_LEADER = re.compile(f"[{re.escape(LEADERS)}]+")
+_LEADER = re.compile(f"[{re.escape(LEADERS)} ]+")
+#: What markers and page numbers look like.
 _FILL = rf"[\s{re.escape(LEADERS)}]*"
 _ENDS_WITH_PAGE = re.compile(rf"(.*?){_FILL}(\d{{1,4}})\s*$", re.S)
 _PAGE = re.compile(r"\d{1,4}$")
-_CODE = re.compile(r"([A-E]\.\d{1,2}(?:\.\d{1,2})?)\b(.*)$", re.I | re.S)
+_CODE = re.compile(r"([A-E]\.\d{1,2}(?:\.\d{1,2})?)\b", re.I)
 _LETTER_DOT = re.compile(r"([A-E])\.$", re.I)
 _LETTER_TITLE = re.compile(r"([A-E])\.\s+(.+)$", re.I | re.S)
+_LETTER_REST = re.compile(r"([A-E])\.\s*(.*)$", re.I | re.S)
 _PART = re.compile(r"(?:Teil|Abschnitt)\s*([A-E])\.?$", re.I)
 _LETTER = re.compile(r"([A-E])$", re.I)
 _SUBSECTION = re.compile(r"[A-E]\.\d", re.I)
 _ONE_SPAN = re.compile(rf"\s*((?:[A-E]\.\d{{1,2}}(?:\.\d{{1,2}})?|[A-E])\.?)\s+(.*?){_FILL}(\d{{1,4}})\s*$", re.I | re.S)
-_MERGED_LETTER = re.compile(rf"([A-E])\.\s*(.*?){_FILL}(\d{{1,4}})\s*$", re.I | re.S)
 ITEM = "struct<title: string, marker: string, page: int>"
 HIT = "struct<letter: string, title: string, page: int>"
 
@@ -61,61 +62,74 @@ def lines(spans: DataFrame) -> DataFrame:
     return clean(spans).select("doc_id", "page_index", "span_seq", "text", "x0", "y0").groupBy("doc_id", "page_index").applyInPandas(group, "doc_id string, page_index int, line_seq int, tokens array<string>")
 
 
-def _title(parts: list[str]) -> str:
-    return " ".join(" ".join(p for p in parts if p and not _LEADER.fullmatch(p)).split())
+def _one_space(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _split_page(text: str) -> tuple[str, int] | None:
+    """A text that ends with a page number: what stands before leaders and number, and the number."""
+    m = _ENDS_WITH_PAGE.match(text)
+    return (m[1].strip(), int(m[2])) if m else None
 
 
 def _page_of(tokens: list[str]) -> tuple[int, int, str] | None:
-    """Index of the token with the page, the page, and what stands before it in that token."""
-    for i in range(len(tokens) - 1, -1, -1):
-        if _PAGE.match(tokens[i]):
-            return i, int(tokens[i]), ""
-    m = _ENDS_WITH_PAGE.match(tokens[-1])
-    return (len(tokens) - 1, int(m[2]), m[1].strip()) if m else None
-
-
-def _marker(tokens: list[str], at: int, codes: bool) -> tuple[int, str, str] | None:
-    """Index of the last token of the marker, the marker, and title text in that token; forms are tried in turn."""
-    left = tokens[: at + 1]
-    if codes:
-        for i, t in enumerate(left):
-            if m := _CODE.match(t):
-                return i, m[1].upper(), m[2].strip()
+    """Index of the token with the page, the page, and the title in that token: the rightmost number, else the last token's end."""
+    alone = [i for i, t in enumerate(tokens) if _PAGE.match(t)]
+    if alone:
+        return alone[-1], int(tokens[alone[-1]]), ""
+    merged = _split_page(tokens[-1])
+    return (len(tokens) - 1, merged[1], merged[0]) if merged else None
+
+
+def _letter_alone(tokens: list[str], i: int, stop: int) -> tuple[int, bool] | None:
+    """For a token of one letter: the marker's last token, and whether a dot of its own follows."""
+    if not _LETTER.match(tokens[i]):
+        return None
+    dotted = i + 1 < stop and tokens[i + 1] == "."
+    return i + dotted, dotted
+
+
+def _section_marker(tokens: list[str]) -> tuple[int, str, str] | None:
+    """Index of the marker's last token, its letter, and title text in that token; each form is sought in the whole line."""
+    for form in (_LETTER_DOT, _LETTER_TITLE, _PART):
+        for i, t in enumerate(tokens):
+            if m := form.match(t):
+                return i, m[1].upper(), m[2].strip() if form is _LETTER_TITLE else ""
+    for i, t in enumerate(tokens):
+        if found := _letter_alone(tokens, i, len(tokens)):
+            return found[0], t.upper(), ""
+    return None
+
+
+def _item_marker(left: list[str]) -> tuple[int, str, str]:
+    """Index of the marker's last token (-1: none), the marker, and title text in that token; the first token of any form counts."""
     for i, t in enumerate(left):
+        if m := _CODE.match(t):
+            return i, m[1].upper(), t[m.end() :].strip()
         if m := _LETTER_DOT.match(t):
             return i, f"{m[1].upper()}.", ""
-    for i, t in enumerate(left):
-        if m := _LETTER_TITLE.match(t):
-            return i, f"{m[1].upper()}.", m[2].strip()
-    for i, t in enumerate(left):
         if m := _PART.match(t):
             return i, f"Teil {m[1].upper()}", ""
-    for i, t in enumerate(left):
-        if m := _LETTER.match(t):
-            dotted = i + 1 < len(left) and left[i + 1] == "."
-            return i + dotted, f"{m[1].upper()}.", ""
-    return None
+        if found := _letter_alone(left, i, len(left)):
+            return found[0], t.upper() + "." * found[1], ""
+    return -1, "", ""
 
 
 def parse_section(tokens: list[str] | None) -> tuple[str, str, int] | None:
     """(letter, title, page) of a top-level entry; lines of subsections and others give None."""
-    if not tokens or any(_SUBSECTION.match(t) for t in tokens):
-        return None
-    for t in tokens:
-        if (m := _MERGED_LETTER.match(t)) and m[2].strip():
-            return m[1].upper(), " ".join(m[2].split()), int(m[3])
-    found = _page_of(tokens)
-    if not found:
+    if not tokens:
         return None
-    at, page, before = found
-    marker = _marker(tokens, at if before else at - 1, codes=False) if at or before else None
-    if not marker:
+    for t in tokens:  # the first token that is an entry of its own decides, unless a subsection stands before
+        if _SUBSECTION.match(t):
+            return None
+        if (m := _LETTER_REST.match(t)) and (own := _split_page(m[2].strip())) and own[0]:
+            return m[1].upper(), _one_space(own[0]), own[1]
+    marker, found = _section_marker(tokens), _page_of(tokens)
+    if not marker or not found or marker[0] >= found[0]:
         return None
-    i, name, prefix = marker
-    if i == at and before:
-        prefix, before = _ENDS_WITH_PAGE.match(prefix)[1].strip() if _ENDS_WITH_PAGE.match(prefix) else prefix, ""
-    title = _title([prefix, *tokens[i + 1 : at], before])
-    return (name.strip(".")[-1], title, page) if title else None
+    (i, letter, prefix), (at, page, before) = marker, found
+    title = _one_space(" ".join([prefix, *(t for t in tokens[i + 1 : at] if not _LEADER.fullmatch(t))])) or _one_space(before)
+    return (letter, title, page) if title else None
 
 
 def parse_item(tokens: list[str] | None) -> tuple[str, str, int] | None:
@@ -124,13 +138,13 @@ def parse_item(tokens: list[str] | None) -> tuple[str, str, int] | None:
         return None
     if len(tokens) == 1 and (m := _ONE_SPAN.match(tokens[0])):
         marker = m[1].upper()
-        return " ".join(m[2].split()), marker.rstrip(".") if _SUBSECTION.match(marker) else marker, int(m[3])
+        return _one_space(m[2]), marker.rstrip(".") if _SUBSECTION.match(marker) else marker, int(m[3])
     found = _page_of(tokens)
     if not found:
         return None
     at, page, before = found
-    i, marker, prefix = _marker(tokens, at - 1, codes=True) or (-1, "", "") if at else (-1, "", "")
-    title = _title([prefix, *tokens[i + 1 : at], before])
+    i, marker, prefix = _item_marker(tokens[:at])
+    title = _one_space(" ".join([prefix, *(t for t in tokens[i + 1 : at] if not _LEADER.fullmatch(t))])) or _one_space(before)
     return (title, marker, page) if title else None
 
 

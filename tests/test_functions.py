@@ -100,6 +100,23 @@ def test_contents_parsing():
     assert toc.parse_item([]) is None and toc.parse_item(["nur Text"]) is None
 
 
+def test_contents_markers():
+    assert toc.parse_item(["A", "B.1 foo", "5"]) == ("B.1 foo", "A", 5)
+    assert toc.parse_item(["A", "Geschäft", "7"]) == ("Geschäft", "A", 7)
+    assert toc.parse_item(["A", ".", "Geschäft", "7"]) == ("Geschäft", "A.", 7)
+    assert toc.parse_item(["A. Geschäft", "....", "7"]) == ("A. Geschäft", "", 7)
+    assert toc.parse_item(["A.1 G", "eschäft", "....", "7"]) == ("G eschäft", "A.1", 7)
+    assert toc.parse_item(["Teil B", "System", "12"]) == ("System", "Teil B", 12)
+    assert toc.parse_item(["B.", "Governance……39"]) == ("Governance", "B.", 39)
+    assert toc.parse_item(["B.", "Governance", "Teil zwei……39"]) == ("Governance", "B.", 39)
+    assert toc.parse_item(["7"]) is None
+    assert toc.parse_section(["A. Title 7", "A.1 x"]) == ("A", "Title", 7)
+    assert toc.parse_section(["A.1 x", "A. Title 7"]) is None
+    assert toc.parse_section(["A", ".", "Titel", "…", "7"]) == ("A", "Titel", 7)
+    assert toc.parse_section(["7", "A.", "Titel"]) is None
+    assert toc.parse_section(["A. Titel", "mit Rest", "…… 12"]) == ("A", "Titel mit Rest", 12)
+
+
 def test_contents_lines_and_sections(spark):
     s = spark.createDataFrame([("d", 0, 0, "A. Eins", 10.0, 100.0), ("d", 0, 1, "2", 90.0, 101.5), ("d", 0, 2, "B. Zwei", 10.0, 120.0), ("d", 0, 3, "5", 90.0, 120.0)], "doc_id string, page_index int, span_seq int, text string, x0 double, y0 double")
     hits = toc.heading_hits(toc.lines(s))
