@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse, narrow_spaces, scrub_section_codes
+from .text import collapse, narrow_spaces, once, scrub_section_codes
 
 #: One number, with dots or spaces between thousands but never both.
 NUMBER = r"\(?\s*(?:\d{1,3}(?:\.\d{3})+|\d{1,3}(?: \d{3})+|\d+)(?:,\d+)?\s*%?\)?"
@@ -30,8 +30,10 @@ def numbers_de(c: Column) -> Column:
 
 def current_previous(c: Column) -> Column:
     """Struct (current, previous) of the first ``X (Y)``, else null."""
-    first, second = F.regexp_extract(c, PAIR, 1), F.regexp_extract(c, PAIR, 2)
-    return F.when(first != "", F.struct(german_double(first).alias("current"), german_double(second).alias("previous")))
+    def parts(m: Column) -> Column:
+        return F.when(m != "", F.struct(german_double(F.regexp_extract(m, PAIR, 1)).alias("current"), german_double(F.regexp_extract(m, PAIR, 2)).alias("previous")))
+
+    return once(F.regexp_extract(c, PAIR, 0), parts)
 
 
 def coerce_scale(c: Column) -> Column:

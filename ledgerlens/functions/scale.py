@@ -44,13 +44,17 @@ def token(c: Column) -> Column:
 
 def from_source(source: Column) -> Column:
     """Scale in the row's own text: token, else EUR (1), else % (no scale)."""
-    c = narrow_spaces(source)
-    found = token(c)
-    return (
-        F.when(found.isNotNull(), hit(found.factor, F.coalesce(unit_of(c), F.lit("EUR")), found.label))
-        .when(unit_of(c) == "EUR", hit(F.lit(1.0), F.lit("EUR"), F.lit("EUR")))
-        .when(unit_of(c) == "%", hit(None, F.lit("%"), F.lit("%")))
-    )
+    def judged(c: Column) -> Column:
+        def by_token(found: Column) -> Column:
+            return (
+                F.when(found.isNotNull(), hit(found.factor, F.coalesce(unit_of(c), F.lit("EUR")), found.label))
+                .when(c.contains("%"), hit(None, F.lit("%"), F.lit("%")))
+                .when(c.rlike(EUR), hit(F.lit(1.0), F.lit("EUR"), F.lit("EUR")))
+            )
+
+        return once(token(c), by_token)
+
+    return once(narrow_spaces(source), judged)
 
 
 def locate(source: Column, page: Column) -> Column:
