@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, decontaminate, license_scan, media, ngram_join, secret_scan, sentencepiece_bpe, substring_dedup, toxicity, url_filter
+from ledgerlens.llm import chat_format, decontaminate, graph, license_scan, media, ngram_join, secret_scan, sentencepiece_bpe, substring_dedup, toxicity, url_filter
 from ledgerlens.llm import queries as llm
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -239,6 +239,21 @@ def test_near_duplicates_by_brute_force(spark):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [500_000, 7])
+def test_components_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)  # with 7, star steps join what blocks leave apart
+    r = random.Random(41)
+    links = [(k, k + 1) for k in range(30)] + [(100, 100 + r.randrange(1, 40)) for _ in range(30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(35)] + [(7, 7)]
+    root = {x: x for pair in links for x in pair}
+    for a, b in links:
+        p, q = root[a], root[b]
+        root = {x: min(p, q) if y in (p, q) else y for x, y in root.items()}
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: root[x] for x in linked}
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_toxicity_grammar():
     g = toxicity.Grammar({"idiot": 4.0}, -3.0)
     plain, denied, told, addressed, threat, clean = (g.score(t)[0] for t in (b"an idiot spoke", b"he spoke. not an idiot", b"it was reported that an idiot", b"you IDIOT", b"I will hurt somebody", b"a hurtful idiotic idea"))
