@@ -198,3 +198,45 @@ def test_ratio_note(spark):
     x = x.selectExpr("*", "cast(null as double) scale", "cast(null as double) typical_scale", "cast(null as string) source_text", "cast(null as string) page_text", "true has_evidence")
     got = verify.verify(x).collect()
     assert [(r.verifier_notes, r.confidence) for r in got] == [("Erwartetes Verhältnis ist 120.0 anstatt 150.0", 0.6), (None, 0.75)]
+
+
+def test_hyphenation_over_whole_documents(spark, sf):
+    import re
+
+    from ledgerlens.plans import catalogue
+
+    def joined(t):
+        t = re.sub(r"(?<=\w)\s+(?=\w+[ \t]*-\s*\r?\n\s*\w)", "", t)
+        t = re.sub(r"(?<=\w)\s*-\s*\r?\n\s*(?=\w)", "", t)
+        t = re.sub(r"(?<=[A-Za-zÄÖÜäöüß])\r?\n(?=[a-zäöüß])", "", t)
+        return re.sub(r"[ \t]{2,}", " ", t)
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.text for r in catalogue.queries()["normalize_hyphenation_full"](spark, sf).collect()}
+    assert got == {i: None if t is None else joined(t.replace("th", "t-\n h")) for i, t in texts.items()}
+
+
+def test_contents_items_by_brute_force(spark):
+    import random
+
+    r = random.Random(51)
+    words = ["A.", "B.1", "C", ".", "Teil D", "Titel", "Thema ..... 7", "12", "…", "E. Kapital", "3", "A.2.1 Rest", "Anhang 40"]
+    placed = [("d", p, n, r.choice(words), float(r.randrange(500)), float(r.randrange(0, 60)) + 0.25) for p in range(3) for n in range(60)]
+    table = spark.createDataFrame(placed, "doc_id string, page_index int, span_seq int, text string, x0 double, y0 double")
+    want, seen = [], set()
+    for p in range(3):
+        rows, level = [], None
+        for _, _, seq, text, x, y in sorted((s for s in placed if s[1] == p), key=lambda s: (round(s[5]), s[4], s[2])):
+            if level is None or abs(y - level) > toc.TOLERANCE:
+                rows.append([])
+                level = y
+            else:
+                level = (level + y) / 2
+            rows[-1].append((x, text))
+        for k, row in enumerate(rows):
+            item = toc.parse_item([t for _, t in sorted(row, key=lambda s: s[0])])
+            if item and (item[2], item[0].lower(), item[1].lower()) not in seen:
+                seen.add((item[2], item[0].lower(), item[1].lower()))
+                want.append((p * 10000 + k, item[2], item[0], item[1]))
+    got = [(x.seq, x.page, x.title, x.left_marker) for x in toc.items(toc.lines(table)).collect()]
+    assert len(want) > 5 and sorted(got) == sorted(want)
