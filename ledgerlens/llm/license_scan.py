@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,7 +131,9 @@ def build_index(passages: tuple = PASSAGES) -> tuple[dict[str, list[tuple[int, i
 def _agreeing(words: Column, passages: tuple) -> Column:
     """The hits, packed and sorted, that agree with MIN_AGREEING - 1 others or more."""
     postings, idf, _ = build_index(passages)
-    table = F.create_map(*[x for w, p in postings.items() for x in (F.lit(w), F.struct(F.lit(-idf[w]).alias("order"), F.array(*[F.lit(k * PASSAGE - i * (PLACE - 1)) for k, i in p]).alias("at")))])
+    # as one text: thousands of literals made one by one take seconds
+    entry = lambda w, p: f"'{w}', named_struct('order', {-idf[w]!r}D, 'at', array({', '.join(f'{k * PASSAGE - i * (PLACE - 1)}L' for k, i in p)}))"
+    table = F.expr(f"map({', '.join(entry(w, p) for w, p in postings.items())})")
     known = F.filter(F.transform(F.array_distinct(words), lambda w: F.struct(table[w].alias("found"), w.alias("w"))), lambda x: x["found"].isNotNull())
     rare = F.slice(F.sort_array(F.transform(known, lambda x: F.struct(x["found"]["order"].alias("order"), x["w"].alias("w"), x["found"]["at"].alias("at")))), 1, RARE_WORDS)
 
@@ -158,9 +161,10 @@ def _labels_by_index(text: Column, low: Column, passages: tuple, words_held: Col
     """Array of struct (label, score) of the passages found; words_held: which of the anchors the text holds, base_held: which base phrases."""
     anchors = _anchors(passages)
     _, idf, totals = build_index(passages)
-    weights = F.array(*[F.array(*[F.lit(idf[w]) for w in re.findall(WORD, p)]) for _, p, _ in passages])
+    weights = F.expr(f"array({', '.join('array(' + ', '.join(f'{idf[w]!r}D' for w in re.findall(WORD, p)) + ')' for _, p, _ in passages)})")
     words = F.regexp_extract_all(ascii_lower(text), F.lit(WORD), 0)
 
+    @cache
     def keyed(keys: tuple) -> Column:
         out = F.lit(True)
         for k in keys:
