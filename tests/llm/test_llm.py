@@ -110,6 +110,23 @@ def test_pieces_equal_the_library():
         assert mine.encode(t) == ids and mine.decode(ids) == sp.decode(ids), t
 
 
+def test_pieces_of_frequent_words_stay_remembered(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_bpe, "MEMO_ENTRIES", 50)
+    monkeypatch.setattr(sentencepiece_bpe, "PAIR_ENTRIES", 60)
+    sp = sentencepiece.SentencePieceProcessor(model_file=llm.piece_model())
+    mine = sentencepiece_bpe.MergeEncoder(llm.piece_model())
+    made, make = [], mine.memo.make
+    mine.memo.make = lambda segment: made.append(segment) or make(segment)
+    r = random.Random(2)
+    for _ in range(60):
+        text = " ".join(["and the"] + ["".join(r.choice("aeinrst\u0e01\u4e00é🦙") for _ in range(r.randrange(4, 12))) for _ in range(20)])
+        ids = sp.encode(text)
+        assert mine.encode(text) == ids and mine.decode(ids) == sp.decode(ids), text
+    assert made.count("▁the") == 1 and len(made) > 500 and max(len(mine.memo), len(mine.memo.old)) <= 50
+
+
 def test_piece_columns(spark, sf):
     import sentencepiece
 
