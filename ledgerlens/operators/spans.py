@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,11 +131,42 @@ def resolve_field_spans(fields: DataFrame, documents: DataFrame, sections: DataF
     return r.select("doc_id", "field_id", (span["start_page"] + shift).alias("start_page"), (span["end_page"] + shift).alias("end_page"), F.when(span.isNull(), "no_section").alias("note"))
 
 
-def pages_in_span(spans: DataFrame, pages: DataFrame, page_count: str | None = None) -> DataFrame:
-    """span columns plus text (pages joined by newline, in order); a range join inside each document."""
-    lo = F.greatest(F.lit(1), F.col("start_page"))
+def numbered_points(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, at, lo, hi, n: the n pages (distinct numbers) of the document up to each page, and up to lo - 1 and hi of each range.
+
+    A page has no lo and hi.  Keys alone are sorted, once a document.
+    """
+    at = [F.col(x).cast("long") for x in ("lo", "hi")]
+    points = pages.select("doc_id", F.col("page").cast("long").alias("at"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).where("at is not null").distinct()
+    for end in (at[0] - 1, at[1]):
+        points = points.unionAll(ranges.select("doc_id", end.alias("at"), at[0].alias("lo"), at[1].alias("hi")))
+    upto = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return points.withColumn("n", F.count(F.when(F.col("lo").isNull(), 1)).over(upto))
+
+
+def pages_of_ranges(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, lo, hi, page: the page numbers that exist in each of the distinct ranges, each once.
+
+    A range is turned into first to last place among its document's pages, so only what is in it is made.
+    """
+    points = numbered_points(ranges, pages)
+    places = points.where("lo is not null").groupBy("doc_id", "lo", "hi").agg((F.min("n") + 1).alias("first"), F.max("n").alias("last")).where("first <= last")
+    places = places.select("doc_id", "lo", "hi", F.explode(F.sequence("first", "last")).alias("n"))
+    return places.join(points.where("lo is null").select("doc_id", "n", F.col("at").alias("page")), ["doc_id", "n"]).drop("n")
+
+
+def pages_in_span(spans: DataFrame, pages: DataFrame, page_count: str | None = None, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """span columns plus text (pages joined by newline, in order) and n_pages; rows of one doc_id and span_id are one span.
+
+    pages: doc_id, page, text.  With texts, pages need no text: texts(wanted) gives doc_id, page, text of
+    the wanted (distinct doc_id, page).  A text is put together once for all spans of the same ranges.
+    """
     keys = ["doc_id", "span_id"]
-    s = spans.withColumn("lo", lo)
-    joined = s.join(pages.select(F.col("doc_id").alias("p_doc"), "page", "text"), (F.col("doc_id") == F.col("p_doc")) & F.col("page").between(F.col("lo"), F.col("end_page")))
+    lo, hi = F.greatest(F.lit(1), F.col("start_page")).cast("long").alias("lo"), F.col("end_page").cast("long").alias("hi")
+    s = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(lo, hi))).alias("ranges"))
+    asked = s.select("doc_id", "ranges").distinct().select("doc_id", "ranges", F.inline("ranges")).where("lo <= hi")
+    found = pages_of_ranges(asked.select("doc_id", "lo", "hi").distinct(), pages.select("doc_id", "page"))
+    texts = texts(found.select("doc_id", "page").distinct()) if texts else pages
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n")
-    return s.select(*keys).join(joined.groupBy(*keys).agg(text.alias("text"), F.count("*").alias("n_pages")), keys, "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"))
+    joined = asked.join(found, ["doc_id", "lo", "hi"]).join(texts, ["doc_id", "page"]).groupBy("doc_id", "ranges").agg(text.alias("text"), F.count("*").alias("n_pages"))
+    return s.join(joined, ["doc_id", "ranges"], "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"))

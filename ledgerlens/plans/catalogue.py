@@ -323,13 +323,25 @@ def field_span_resolution(spark, sf_dir):
 
 _SPANS = "SELECT CAST(p_partkey % 20 AS INT) AS doc_id, p_partkey AS span_id, CAST(p_partkey % 40 - 2 AS INT) AS start_page, CAST(p_partkey % 40 + 1 AS INT) AS end_page FROM {part}"
 
+#: PAGES by the keys of their texts: copy counts the rows of one id, from 0.
+_PAGE_KEYS = "SELECT doc_id AS id, CAST(doc_id % 20 AS INT) AS doc_id, CAST(row_number() OVER w AS INT) AS page, row_number() OVER w - rank() OVER w AS copy FROM {documents} WINDOW w AS (PARTITION BY doc_id % 20 ORDER BY doc_id)"
+
 
 @query("pages_in_span_text", f"""
 WITH s AS ({duck(_SPANS)}), p AS ({duck(PAGES)})
 SELECT s.doc_id, s.span_id, coalesce(string_agg(p.text, chr(10) ORDER BY p.page), '') AS text, count(p.page) AS n_pages
 FROM s LEFT JOIN p ON p.doc_id = s.doc_id AND p.page BETWEEN greatest(1, s.start_page) AND s.end_page GROUP BY s.doc_id, s.span_id""")
 def pages_in_span_text(spark, sf_dir):
-    return spans.pages_in_span(rows(spark, sf_dir, _SPANS), rows(spark, sf_dir, PAGES))
+    numbers = rows(spark, sf_dir, _PAGE_KEYS)
+
+    def texts(wanted):
+        ids = numbers.join(wanted, ["doc_id", "page"], "left_semi")
+        # _SPANS asks for pages 1 to 40 of 20 documents, so these keys are few at any size
+        docs = rows(spark, sf_dir, "SELECT doc_id AS id, text FROM {documents}").join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+        copies = docs.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("text")) - 1)
+        return copies.join(ids, ["id", "copy"]).select("doc_id", "page", "text")
+
+    return spans.pages_in_span(rows(spark, sf_dir, _SPANS), numbers, texts=texts)
 
 
 # --- page numbers -------------------------------------------------------------------------------

@@ -240,3 +240,28 @@ def test_contents_items_by_brute_force(spark):
                 want.append((p * 10000 + k, item[2], item[0], item[1]))
     got = [(x.seq, x.page, x.title, x.left_marker) for x in toc.items(toc.lines(table)).collect()]
     assert len(want) > 5 and sorted(got) == sorted(want)
+
+
+def test_pages_in_span_of_odd_spans_and_pages(spark):
+    table = [("d", 1, "one"), ("d", 1, "again"), ("d", 3, None), ("d", 10**9, "last"), ("d", None, "x"), ("e", 2, "two"), ("e", 0, "nought"), (None, 1, "y")]
+    asked = [("d", 1, -5, 2**31 - 1), ("d", 2, 2, 2), ("d", 3, 3, 3), ("d", 4, 2, 1), ("d", 5, 1, None), ("d", 6, None, 3), ("e", 1, 1, 2), ("e", 2, 1, 2), ("f", 1, 1, 2), (None, 1, 1, 1)]
+    asked += [("e", 9, 2, 2), ("e", 9, 1, 5)]  # rows of one span
+    s, p = spark.createDataFrame(asked, "doc_id string, span_id int, start_page int, end_page int"), spark.createDataFrame(table, "doc_id string, page int, text string")
+    want = {}
+    for doc, span, start, end in asked:
+        hits = want.setdefault((doc, span), [])
+        hits += [(page, text or "") for d, page, text in table if doc and d == doc and end is not None and page is not None and max(1, start or 1) <= page <= end]
+    want = sorted((repr(k), "\n".join(t for _, t in sorted(v) if t), len(v)) for k, v in want.items())
+    for texts in (None, lambda w: p.join(w, ["doc_id", "page"])):
+        got = [(repr((r.doc_id, r.span_id)), r.text, r.n_pages) for r in spans.pages_in_span(s, p, texts=texts).collect()]
+        assert sorted(got) == want
+
+
+def test_pages_in_span_compares_no_pairs(spark):
+    """All spans of a document against all of its pages would be pairs; joins are by equal keys alone."""
+    s = spark.range(4000).selectExpr("id % 2 AS doc_id", "id AS span_id", "CAST(id % 7 AS INT) AS start_page", "CAST(id % 7 + 2 AS INT) AS end_page")
+    p = spark.range(4000).selectExpr("id % 2 AS doc_id", "CAST(id / 2 AS INT) AS page", "'t' AS text")
+    df = spans.pages_in_span(s, p)
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not any("<=" in x or ">=" in x for x in joins)
+    assert df.agg(F.sum("n_pages")).head()[0] == sum(i % 7 + 2 - max(1, i % 7) + 1 for i in range(4000))

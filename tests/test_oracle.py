@@ -30,3 +30,16 @@ def test_entry(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "source_type" in df.columns
+
+
+def test_pages_in_span_text_of_repeated_rows(spark, sf, tmp_path):
+    """Documents that occur twice take two page numbers, parts that occur twice are one span."""
+    for t, k in (("documents", "doc_id"), ("part", "p_partkey")):
+        rows = spark.read.parquet(f"{sf}/{t}.parquet")
+        rows.union(rows.where(f"{k} % 3 = 0")).union(rows.where(f"{k} = 40")).write.parquet(f"{tmp_path}/{t}.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "part"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    name, columns = "pages_in_span_text", "doc_id, n_pages, span_id, text"
+    mine = sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).select(*columns.split(", ")).collect()))
+    assert mine == sorted(c.execute(f"select {columns} from ({catalogue.oracle_sql()[name]})").fetchall())
